@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
