@@ -5,13 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import bpe_encode, piece_cut
-from weftline.runtime import table
+from weftline.llm import bpe_encode, piece_cut, quantile_sketch, source_mix
+from weftline.runtime import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per benchmark (``run_day`` null) and per benchmark and day, with their error bound."""
+    days = cut(quantile_sketch.day_sketches(table(spark, sf_dir, "results")))
+    keys = ["source_benchmark", "run_day", "measure"]
+    whole = quantile_sketch.over_days(days).withColumn("run_day", F.lit(None).cast("string"))
+    return quantile_sketch.percentiles_of(whole.select(*days.columns).unionByName(days), keys)
+
+
+def p2_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketches themselves: what is kept of a day to combine it with others later."""
+    return quantile_sketch.day_sketches(table(spark, sf_dir, "results"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = piece_cut.oversized(table(spark, sf_dir, "fragments"), table(spark, sf_dir, "piece_limits"), "default")
     return piece_cut.cut_pieces(over).filter("piece_no = 1").select("fragment_id")
@@ -22,13 +36,27 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode.encode_column(table(spark, sf_dir, "documents"))
+    return bpe_encode.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    counted = bpe_encode.encode_column(docs, keep=("doc_id", "source"), counts_only=True)
+    return source_mix.mix(counted, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 QUERIES: dict[str, Query] = {
+    "p2_percentiles": p2_percentiles,
+    "p2_day_sketches": p2_day_sketches,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
 
 ORACLE: dict[str, str] = {
