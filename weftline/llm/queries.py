@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_encode, piece_cut, quantile_sketch, source_mix
+from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, source_mix
 from weftline.runtime import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,18 @@ def p2_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantile_sketch.day_sketches(table(spark, sf_dir, "results"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_split.same_repo_pairs(grouped_split.repo_roots(table(spark, sf_dir, "instances"), table(spark, sf_dir, "repo_moves")))
+
+
+def p5_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_split.grouped_split(table(spark, sf_dir, "instances"), table(spark, sf_dir, "repo_moves"), table(spark, sf_dir, "split_config"))
+
+
+def p5_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_split.split_report(p5_split(spark, sf_dir), table(spark, sf_dir, "instances"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     over = piece_cut.oversized(table(spark, sf_dir, "fragments"), table(spark, sf_dir, "piece_limits"), "default")
     return piece_cut.cut_pieces(over).filter("piece_no = 1").select("fragment_id")
@@ -52,6 +64,9 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_percentiles": p2_percentiles,
     "p2_day_sketches": p2_day_sketches,
+    "p5_found": p5_found,
+    "p5_split": p5_split,
+    "p5_split_report": p5_split_report,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
