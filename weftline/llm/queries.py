@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, source_mix
+from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, source_mix, split_overlap
 from weftline.runtime import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,15 @@ def p2_day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantile_sketch.day_sketches(table(spark, sf_dir, "results"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.found_pairs(split_overlap.overlaps(table(spark, sf_dir, "instances"), table(spark, sf_dir, "split_manifest")))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instances, manifest = table(spark, sf_dir, "instances"), table(spark, sf_dir, "split_manifest")
+    return split_overlap.overlap_report(split_overlap.overlaps(instances, manifest), instances, manifest)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_split.same_repo_pairs(grouped_split.repo_roots(table(spark, sf_dir, "instances"), table(spark, sf_dir, "repo_moves")))
 
@@ -64,6 +73,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_percentiles": p2_percentiles,
     "p2_day_sketches": p2_day_sketches,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p5_split_report": p5_split_report,
