@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, source_mix, split_overlap
+from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, secret_scan, source_mix, split_overlap
 from weftline.runtime import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.overlap_report(split_overlap.overlaps(instances, manifest), instances, manifest)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "fragments"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(table(spark, sf_dir, "fragments"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_split.same_repo_pairs(grouped_split.repo_roots(table(spark, sf_dir, "instances"), table(spark, sf_dir, "repo_moves")))
 
@@ -75,6 +83,8 @@ QUERIES: dict[str, Query] = {
     "p2_day_sketches": p2_day_sketches,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_split": p5_split,
     "p5_split_report": p5_split_report,
