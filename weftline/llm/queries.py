@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, secret_scan, source_mix, split_overlap
+from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, secret_scan, source_filter, source_mix, split_overlap
 from weftline.runtime import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_filter.not_hand_written(table(spark, sf_dir, "fragments")).select("repo", "path")
+
+
+def p1_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_filter.hand_written(table(spark, sf_dir, "fragments")).select("fragment_id", "repo", "path", "content")
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per benchmark (``run_day`` null) and per benchmark and day, with their error bound."""
     days = cut(quantile_sketch.day_sketches(table(spark, sf_dir, "results")))
@@ -79,6 +87,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_hand_written": p1_hand_written,
     "p2_percentiles": p2_percentiles,
     "p2_day_sketches": p2_day_sketches,
     "p3_found": p3_found,
