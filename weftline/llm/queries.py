@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_encode, grouped_split, piece_cut, quantile_sketch, secret_scan, source_filter, source_mix, split_overlap
+from weftline.llm import bpe_encode, grouped_split, mojibake, piece_cut, quantile_sketch, secret_scan, source_filter, source_mix, split_overlap
 from weftline.runtime import cut, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.shares(p8_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mojibake.garbled(docs, mojibake.shared_model(docs)).select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mojibake.repaired(docs, mojibake.shared_model(docs))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_hand_written": p1_hand_written,
@@ -103,6 +113,8 @@ QUERIES: dict[str, Query] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_repaired": p9_repaired,
 }
 
 ORACLE: dict[str, str] = {
