@@ -33,12 +33,14 @@ UTF8_READ_AS = ("latin", "cp1251", "cp1250", "koi8_r", "cp437", "cp850", "mac_ro
 UTF8_READ_AS_WIDE = ("gbk", "cp932", "euc_kr", "big5")
 SINGLE = (
     ("cp1251", "latin"), ("koi8_r", "latin"), ("cp1250", "latin"), ("iso8859_2", "latin"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"),
-    ("latin", "cp1251"), ("latin", "cp1250"), ("mac_roman", "latin"), ("latin", "mac_roman"), ("cp437", "latin"), ("latin", "cp437"), ("cp1251", "cp866"), ("cp866", "latin"),
+    ("latin", "cp1251"), ("latin", "cp1250"), ("mac_roman", "latin"), ("latin", "mac_roman"), ("cp437", "latin"), ("latin", "cp437"), ("cp1251", "cp866"), ("cp866", "latin"), ("cp850", "latin"),
 )
 WIDE = ("euc_jp", "cp932", "gbk", "euc_kr", "big5")
 LOSSY = "lossy"
-#: Mean bits a line may fall below the model before the legacy chains are tried on it.
-POOR = -5.5
+#: Mean log probability of a character below which the legacy chains are tried on a line.
+POOR = -2.9
+#: Least gain per character of a legacy chain, and the weight of single characters in the model.
+GAIN, BACKOFF = 0.35, 5.0
 #: Evidence of one valid multi-byte sequence: how much rarer it is in sound text.
 SEQUENCE = 4.0
 
@@ -98,9 +100,12 @@ class Detector:
     def __init__(self, model: dict[str, int]) -> None:
         self.model = model
         self.first: dict[str, int] = {}
+        self.second: dict[str, int] = {}
         for pair, n in model.items():
             if len(pair) == 2:
                 self.first[pair[0]] = self.first.get(pair[0], 0) + n
+                self.second[pair[1]] = self.second.get(pair[1], 0) + n
+        self.pairs = sum(self.first.values()) + 1
         self.total = sum(n for x, n in model.items() if len(x) == 1) or 1
         self.bytes = {c: bytes_of(c) for c in {"latin", *UTF8_READ_AS, *(w for _, w in SINGLE)}}
         self.runs = {c: re.compile("[" + "".join(re.escape(chr(x)) for x in sorted(self.bytes[c])) + "]{2,}") for c in UTF8_READ_AS}
@@ -114,7 +119,9 @@ class Detector:
             pair = a + b
             p = self.memo.get(pair)
             if p is None:
-                p = self.memo[pair] = math.log((self.model.get(pair, 0) + 0.02) / (self.first.get(a, 0) + 3.0))
+                # Pairs never seen fall back on how often the second character occurs at all.
+                alone = (self.second.get(b, 0) + 0.01) / self.pairs
+                p = self.memo[pair] = math.log((self.model.get(pair, 0) + BACKOFF * alone) / (self.first.get(a, 0) + BACKOFF))
             total += p
         return total
 
@@ -213,15 +220,19 @@ class Detector:
         if lost:
             add(LOSSY, 4.0 * lost)
         for _, line, words, before in self.poor_lines(plain):
+            size = sum(map(len, words)) + len(words)
             for pair in SINGLE:
                 table = self.single[pair]
                 after = sum(self.score(w.translate(table)) for w in words)
-                if after > before:
+                if after - before > GAIN * size:
                     add(f"{pair[0]}>{pair[1]}", 0.7 * (after - before) - 3.0)
             for codec, fixed in self.wide_fixes(line):
                 gain = self.wide_score(fixed)
                 if gain > 0:
                     add(f"{codec}>latin", 0.5 * gain - 0.3 * before - 3.0)
+        if max((e for c, e in out.items() if c.startswith("utf_8")), default=0) >= 2 * SEQUENCE:
+            # Valid sequences explain a text better than a legacy chain that makes other letters of them.
+            out = {c: e for c, e in out.items() if tuple(c.split(">")) not in self.single}
         return {c: e for c, e in out.items() if e > 0}
 
     def wide_fixes(self, line: str) -> list[tuple[str, str]]:
