@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from weftline.plans import edge_queries, graph_queries, metric_queries, select_queries, text_queries  # noqa: F401
+from weftline.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_pack"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
