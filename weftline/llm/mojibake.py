@@ -26,7 +26,7 @@ from weftline.runtime import cut, small, spread
 #: Least posterior of a garbled record, rounds of EM, and the prior count of a chain in a source.
 POSTERIOR, ROUNDS, PRIOR = 0.5, 25, 0.01
 #: Ratios are rounded to 1 / STEP and clipped to +-LIMIT nats.
-STEP, LIMIT = 2, 40.0
+STEP, LIMIT = 2, 400.0
 
 # Chains of a UTF-8 text read as something else, and of one legacy encoding read as another.
 UTF8_READ_AS = ("latin", "cp1251", "cp1250", "koi8_r", "cp437", "cp850", "mac_roman", "cp866")
@@ -48,7 +48,7 @@ UTF8_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[
 PLAUSIBLE = re.compile(r"[ -ſƒˆ˜Ș-țЀ-џҐґ‐-›€№™←-⇿∀-⋿⌀-⏿─-➿　-ヿ一-鿿가-힣＀-￯\U0001f300-\U0001faff]")
 QUOTED = re.compile(r"`([^`\n]{1,40})`|\"([^\"\n]{1,40})\"|'([^'\n]{1,40})'|“([^”\n]{1,40})”|«([^»\n]{1,40})»")
 ESCAPE = re.compile(r"&#(?:\d{2,6}|x[0-9a-fA-F]{2,5});|&[A-Za-z]{2,8}\d{0,2};|\\u00[0-9a-fA-F]{2}|\\x[89a-fA-F][0-9a-fA-F]")
-CJK = re.compile(r"[　-ヿ一-鿿가-힣！-ﾟ]")
+CJK = re.compile(r"[　-ヿ一-鿿가-힣！-～]")
 WORD = re.compile(r"[A-Za-z\x80-џ–-⁄€№™ˆ˜ƒ]*[\x80-џƒˆ˜€™‚„†‡‰][A-Za-z\x80-џ–-⁄€№™ˆ˜ƒ]*")
 WIDE_RUN = re.compile(r"[⺀-鿿가-힣豈-﫿＀-￯-　-ヿ€�]{2,}")
 LOST = re.compile(r"(?<=[^\W\d_])�|�(?=[^\W\d_])|�{2,}")
@@ -126,7 +126,7 @@ class Detector:
         return total
 
     def wide_score(self, text: str) -> float:
-        return sum(math.log((self.model.get(c, 0) + 0.05) / self.total) + 10.5 for c in text if ord(c) > 127)
+        return sum(math.log((self.model.get(c, 0) + 0.05) / self.total) + 10.5 for c in CJK.findall(text))
 
     def utf8_runs(self, text: str, codec: str) -> list[tuple[int, int, str, float]]:
         """``start, end, restored, evidence`` of runs that are UTF-8 read in a single-byte encoding."""
