@@ -51,6 +51,9 @@ ESCAPE = re.compile(r"&#(?:\d{2,6}|x[0-9a-fA-F]{2,5});|&[A-Za-z]{2,8}\d{0,2};|\\
 CJK = re.compile(r"[　-ヿ一-鿿가-힣！-～]")
 WORD = re.compile(r"[A-Za-z\x80-џ–-⁄€№™ˆ˜ƒ]*[\x80-џƒˆ˜€™‚„†‡‰][A-Za-z\x80-џ–-⁄€№™ˆ˜ƒ]*")
 WIDE_RUN = re.compile(r"[⺀-鿿가-힣豈-﫿＀-￯-　-ヿ€�]{2,}")
+#: One wide character in a Latin word: an accented letter read as half of something else.
+INSIDE_WORD = re.compile(r"(?<=[A-Za-z])[一-鿿가-힣](?![⺀-鿿가-힣豈-﫿])")
+INSIDE = 5.0
 LOST = re.compile(r"(?<=[^\W\d_])�|�(?=[^\W\d_])|�{2,}")
 
 
@@ -163,7 +166,11 @@ class Detector:
             gain = self.wide_score(good) / max(1, len(good)) - self.wide_score(m.group()) / len(m.group())
             evidence = (1.5 * len(good) if size > 4 else 1.0) + min(6.0, max(-6.0, gain)) * min(len(good), 6) / 2
             out.append((m.start(), m.end(), raw.replace(b"\xff", b"").decode("utf-8", "replace"), evidence))
-        return out
+        for m in INSIDE_WORD.finditer(text):
+            letter = m.group().encode(codec, "ignore").decode("utf-8", "ignore")
+            if len(letter) == 1 and "À" <= letter <= "ſ":
+                out.append((m.start(), m.end(), letter, INSIDE if text[m.end() : m.end() + 1].isalpha() else INSIDE / 2))
+        return sorted(out)
 
     def examples(self, text: str) -> str:
         """The text without quoted strings whose restored form is quoted as well: those are examples."""
@@ -212,7 +219,7 @@ class Detector:
         for codec in UTF8_READ_AS:
             for *_, e in self.utf8_runs(plain, codec):
                 add(f"utf_8>{codec}", e)
-        if WIDE_RUN.search(plain):
+        if WIDE_RUN.search(plain) or INSIDE_WORD.search(plain):
             for codec in UTF8_READ_AS_WIDE:
                 for *_, e in self.utf8_wide(plain, codec):
                     add(f"utf_8>{codec}", e)
