@@ -172,19 +172,33 @@ def merge_sketches(parts: DataFrame, keys: Sequence[str], rounds: int = 1, k: in
     """
     names = list(keys)
 
-    def merged(pdf: object) -> object:
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        total = Sketch(k)
-        # A fixed order makes the result the same however the rows arrive.
-        rows = sorted(pdf.itertuples(index=False), key=lambda r: (r.salt, r.n, r.low, r.high))
-        for r in rows:
-            total.merge(Sketch.of(r.n, r.err, r.low, r.high, r.tail, r.levels, r.flat, k))
-        return pd.DataFrame([(*pdf[names].iloc[0], int(rows[0].salt) // FAN_IN, *total.row())], columns=[*names, "salt", *FIELDS])
-
+        # Rows of a key lie together and in a fixed order, so one sketch at a time is held.
+        at, total, out = None, None, []
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                key = (*(None if x is None or x != x else x for x in r[: len(names)]), int(r.salt) // FAN_IN)
+                if key != at:
+                    if at is not None:
+                        out.append((*at, *total.row()))
+                    at, total = key, Sketch(k)
+                total.merge(Sketch.of(r.n, r.err, r.low, r.high, r.tail, r.levels, r.flat, k))
+                if len(out) >= 256:
+                    yield pd.DataFrame(out, columns=[*names, "salt", *FIELDS])
+                    out = []
+        if at is not None:
+            out.append((*at, *total.row()))
+        if out:
+            yield pd.DataFrame(out, columns=[*names, "salt", *FIELDS])
+
+    parts = parts.select(*names, "salt", *FIELDS)
+    schema = parts.schema
     for left in range(rounds - 1, -1, -1):
-        by = [*names, F.floor(F.col("salt") / FAN_IN).alias("__g")] if left else names
-        parts = parts.groupBy(*by).applyInPandas(merged, parts.schema)
+        group = F.floor(F.col("salt") / FAN_IN)
+        parts = parts.repartition(*names, group) if left else parts.repartition(*names)
+        parts = parts.sortWithinPartitions(*names, "salt", "n", "low", "high").mapInPandas(run, schema)
     return parts.drop("salt")
 
 
