@@ -150,7 +150,7 @@ def test_fusion_and_bm25(spark):
     k = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1)], "doc int, term string, tf int")
     q = spark.createDataFrame([("q", "a"), ("q", "a"), ("q", "zz")], "query string, term string")
     s = ranking.bm25(k, q)
-    assert [r["doc"] for r in ranking.ranked(s).orderBy("rank").collect()] == [1, 2]
+    assert [r["doc"] for r in ranking.ranked(s).orderBy("rank").collect()] == [2, 1]
     assert ranking.rrf(s, s).count() == ranking.pit(s, s).count() == 2
 
 
