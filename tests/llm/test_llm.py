@@ -112,6 +112,39 @@ def test_overlaps_against_brute_force(spark):
     assert got <= want and len(want - got) <= 0.02 * len(want)
 
 
+def test_overlaps_lose_no_near_copy(spark):
+    """Copies without their rare words, with changes in one quarter of the text and with a changed half."""
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+
+    def text(n):
+        return [f"rare{rng.randrange(10**9)}" if i % 9 == 4 else rng.choice(common) for i in range(n)]
+
+    def other(t, change):
+        return [f"new{rng.randrange(10**9)}" if change(i, w) else w for i, w in enumerate(t)]
+
+    rows, splits, want = [], [], set()
+    for i in range(60):
+        t = text(rng.choice([48, 60, 100, 300]))
+        copies = [
+            other(t, lambda _, w: w.startswith("rare")),
+            other(t, lambda k, _: k < len(t) // 4 and k % 4),
+            other(t, lambda k, _: k % 2),
+        ]
+        for k, words in enumerate([t, *copies]):
+            rows.append((f"i{i:02d}.{k}", " ".join(words), None, None))
+            splits.append((f"i{i:02d}.{k}", "test" if k else "calibration"))
+    inst = spark.createDataFrame(rows, "instance_id string, problem_statement string, gold_patch string, base_commit string")
+    got = {tuple(r) for r in split_overlap.found_pairs(split_overlap.overlaps(inst, spark.createDataFrame(splits, "instance_id string, split string"))).collect()}
+    words = {r[0]: r[1].split() for r in rows}
+    for a in (r[0] for r in rows if r[0].endswith(".0")):
+        for b in (r[0] for r in rows if not r[0].endswith(".0")):
+            x, y = words[a], words[b]
+            if 2 * split_overlap.common_length(x, y) / (len(x) + len(y)) >= split_overlap.NEAR:
+                want.add((a, b))
+    assert len(want) >= 2 * 60 and got == want
+
+
 def test_commit_names(spark):
     df = spark.createDataFrame([("ABCDEF1234",), (" abcdef1 ",), ("HEAD",), ("",), (None,), ("0" * 40,), ("unknown",)], "c string")
     assert [r[0] for r in df.select(split_overlap.commit_name(F.col("c"))).collect()] == ["abcdef1234", "abcdef1", None, None, None, None, None]

@@ -2,62 +2,53 @@
 
 Texts are normalised to words and each word to three characters of a small alphabet, so that an
 automaton's nodes have few branches and a match is a run of whole words.
-Exact copies are one class.  Passages (windows of words) of the evaluation classes are dealt to
-shards by their rarest word; the windows of every training text are dealt the same way, so each
-shard holds one Aho-Corasick automaton and scans exactly those stretches that can match it - the
-work grows with the text, not with shards times text.  Matched intervals are merged into the
-coverage of a pair of classes, and every covered pair is confirmed by the length of its longest
+Exact copies are one class.  A word and its number among the same words of its text make an element,
+so that the elements two texts share bound their common word sequence from above.  Of each text
+the part PREFIX with the rarest elements is held: two texts that agree by NEAR share a number of
+those which their lengths give, so counting shared elements loses no pair.  Texts meet in blocks of
+one field and range of lengths, and every candidate is confirmed by the length of its longest
 common word sequence.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.runtime import cut, parallelism, small
+from weftline.runtime import cut, small
 
 FIELDS = ("problem_statement", "gold_patch")
 TRAIN, EVAL = "calibration", ("validation", "test")
 #: Least agreement: twice the common sequence over the words of both texts.
 NEAR = 0.75
-#: Words of a passage in long texts; a text of n words has passages of n // 8 words, at least one.
-PASSAGE = 6
-#: Words of a passage without a rare word in long texts.
-COMMON_PASSAGE = 16
-#: Passages that stand for an evaluation text, those with the most rare words first; with fewer
-#: than ENOUGH of them, passages of common words join in.
-PASSAGES, ENOUGH = 32, 8
-#: A word is common above this share of all words and this number.  One that occurs once (a slip of
-#: the pen, say) is in no two texts, and passages with it are left out.
-COMMON, COMMON_LEAST = 1e-5, 100
-ONCE, RARE, OFTEN = 0, 1, 2
-#: Words of a shard.
-SHARD_WORDS = 1_000_000
-#: Words of the run that deals a passage of common words.
-GRAM = 4
-#: Rows a worker holds before it hands them on.
-EMIT_ROWS = 20_000
+#: Share of a text's elements that is held; any share above 0.4 (1 - NEAR / (2 - NEAR)) is exact, a larger
+#: one leaves fewer candidates.
+PREFIX = 0.6
+#: Same words of a text are numbered apart up to NUMBERED, and counted apart over the corpus up to COUNTED.
+NUMBERED, COUNTED = 4096, 8
+#: Texts of a block of the training and the evaluation side.
+TRAIN_BLOCK, EVAL_BLOCK = 10_000, 30_000
+#: Elements a worker holds while it counts.
+COUNT_ROWS = 4_000_000
 #: A word is three of BASE characters from FIRST on; words of one code count as one word.
 FIRST, BASE, WIDTH = 33, 90, 3
 CODES = BASE**WIDTH
-#: Between stretches of a text, as wide as a word.
-SEPARATOR = "\n" * WIDTH
 #: Normalisation: letters, digits and underscores make words; scripts without spaces go by character.
 WORDS = r"[぀-ヿ㐀-鿿豈-﫿]|[^\W぀-ヿ㐀-鿿豈-﫿]+"
 
 
-def passage_words(n: int) -> int:
-    """Words of a passage with a rare word, in a text of n words."""
-    return max(1, min(PASSAGE, n // 8))
+def prefix_words(n: int) -> int:
+    """Elements held of a text of n words."""
+    return math.ceil(PREFIX * n - 1e-9)
 
 
-def common_words(n: int) -> int:
-    """Words of a passage of common words alone: longer, as such a stretch says less."""
-    return max(passage_words(n), min(COMMON_PASSAGE, n // 4))
+def length_class(n: Column) -> Column:
+    """Texts that agree by NEAR are in the same or neighbouring classes."""
+    return F.floor(F.log((2 - NEAR) / NEAR, n) + 1e-9).cast("int")
 
 
 def common_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -135,8 +126,17 @@ def coded(records: DataFrame, fields: tuple[str, ...] = FIELDS, keep: tuple[str,
     return rows.withColumn("key", F.xxhash64("field", "codes"))
 
 
-def word_classes(classes: DataFrame) -> tuple[bytes, int]:
-    """A byte per code - ONCE, RARE or COMMON - and the number of words.
+def elements(code: object) -> tuple:
+    """The words of a text in order of code, and the number of each among its like."""
+    import numpy as np
+
+    held = np.sort(code)
+    starts = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
+    return held, np.arange(len(held)) - np.repeat(starts, np.diff(np.r_[starts, len(held)]))
+
+
+def element_counts(classes: DataFrame) -> bytes:
+    """How often each code and number (from COUNTED on as one) occurs, as 32-bit integers.
 
     The table is as long as there are codes, whatever the size of the corpus.
     """
@@ -145,172 +145,123 @@ def word_classes(classes: DataFrame) -> tuple[bytes, int]:
         import numpy as np
         import pandas as pd
 
-        held = np.zeros(CODES, dtype=np.int64)
+        held = np.zeros(CODES * COUNTED, dtype=np.int64)
         for batch in batches:
-            if len(batch):
-                held += np.bincount(numbers("".join(batch["codes"])), minlength=CODES)
+            for text in batch["codes"]:
+                word, number = elements(numbers(text))
+                # Places below the last number occur once in a text.
+                first = number < COUNTED - 1
+                held[word[first] * COUNTED + number[first]] += 1
+                np.add.at(held, word[~first] * COUNTED + COUNTED - 1, 1)
         at = np.flatnonzero(held)
-        yield pd.DataFrame({"code": at, "n": held[at]})
+        yield pd.DataFrame({"at": at, "n": held[at]})
 
     import numpy as np
 
-    counts = classes.select("codes").mapInPandas(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    words = int(counts["n"].sum())
-    table = np.full(CODES, ONCE, dtype=np.uint8)
-    n = counts["n"].to_numpy()
-    table[counts["code"].to_numpy()] = np.where(n < 2, ONCE, np.where(n <= max(COMMON * words, COMMON_LEAST), RARE, OFTEN))
-    return table.tobytes(), words
-
+    counts = classes.select("codes").mapInPandas(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(CODES * COUNTED, dtype=np.int32)
+    table[counts["at"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**20)
+    return table.tobytes()
 
-def dealt(classes: DataFrame, training: bool, kinds: object, shards: int) -> DataFrame:
-    """Passages of evaluation classes or stretches of training classes with their shard.
 
-    A window's shard comes from its rarest word, or from its least run of words where all are common, so
-    that a frequent word makes no hot shard.
-    """
-    fields = "shard int, key bigint, n int, w int, position int, codes string"
+def prefixes(classes: DataFrame, counts: object) -> DataFrame:
+    """``key, field, n, is_train, is_eval, ids``: the rarest elements of each class as 32-bit integers."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
 
-        kind_of = np.frombuffer(kinds.value, dtype=np.uint8)
-
-        def least(x: object, w: int) -> object:
-            """Minimum of every w neighbours, by doubling."""
-            k, y = 1, x
-            while 2 * k <= w:
-                y = np.minimum(y[:-k], y[k:])
-                k *= 2
-            n = len(x) - w + 1
-            return np.minimum(y[:n], y[w - k : w - k + n]) if k < w else y
-
-        def prepared(code: object) -> tuple:
-            kind = kind_of[code]
-            mixed = code.astype(np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
-            counts = np.zeros((2, len(code) + 1), dtype=np.int32)
-            np.cumsum(kind == ONCE, out=counts[0, 1:])
-            np.cumsum(kind == RARE, out=counts[1, 1:])
-            return mixed, mixed | (kind == OFTEN).astype(np.uint64) << np.uint64(32), counts
-
-        def deal(ready: tuple, w: int) -> tuple:
-            """Shard and number of rare words of every window of w words; -1 with a word that occurs once."""
-            mixed, priority, counts = ready
-            low = least(priority, w)
-            # Of common words alone, the least run of GRAM words decides.
-            gram = min(GRAM, w)
-            m = len(mixed) - gram + 1
-            runs = sum((mixed[k : k + m] * np.uint64(2654435 * k + 1) for k in range(1, gram)), mixed[:m]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-            anchor = np.where(low >> np.uint64(32) > 0, least(runs, w - gram + 1), low)
-            once, rare = counts[:, w:] - counts[:, :-w]
-            return ((anchor * np.uint64(40503) + np.uint64(w)) >> np.uint64(8)) % np.uint64(shards), np.where(once > 0, -1, rare)
-
-        names = ["shard", "key", "n", "w", "position", "codes"]
+        often = np.frombuffer(counts.value, dtype=np.int32)
         for batch in batches:
-            out = []
-            for key, n, text in zip(batch["key"], batch["n"], batch["codes"]):
-                if len(out) >= EMIT_ROWS:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-                n = int(n)
-                code = prepared(numbers(text))
-                if not training:
-                    w = passage_words(n)
-                    shard, rare = deal(code, w)
-                    at = np.flatnonzero(rare > 0)
-                    at = at[np.lexsort((at * 2654435761 % 4294967296, -rare[at]))[:PASSAGES]]
-                    out += [(int(shard[p]), key, n, w, int(p), text[WIDTH * p : WIDTH * (p + w)]) for p in at.tolist()]
-                    if len(at) < ENOUGH:
-                        w = common_words(n)
-                        shard, rare = deal(code, w)
-                        at = np.flatnonzero(rare == 0)
-                        at = at[np.argsort(at * 2654435761 % 4294967296)[:PASSAGES]]
-                        out += [(int(shard[p]), key, n, w, int(p), text[WIDTH * p : WIDTH * (p + w)]) for p in at.tolist()]
-                    continue
-                # An evaluation text may be shorter or longer by the agreement asked for.
-                low, high = int(n * NEAR / (2 - NEAR)), int(n * (2 - NEAR) / NEAR) + 1
-                lengths = [(w, True) for w in range(passage_words(low), passage_words(high) + 1)] + [(w, False) for w in range(common_words(low), common_words(high) + 1)]
-                for w, with_rare in lengths:
-                    if w > n:
-                        continue
-                    shard, rare = deal(code, w)
-                    at = np.flatnonzero(rare > 0 if with_rare else rare == 0)
-                    if not len(at):
-                        continue
-                    held = shard[at]
-                    ends = np.flatnonzero((held[1:] != held[:-1]) | (at[1:] != at[:-1] + 1))
-                    parts: dict[int, list[str]] = {}
-                    for a, b in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(at) - 1]):
-                        parts.setdefault(int(held[a]), []).append(text[WIDTH * at[a] : WIDTH * (at[b] + w)])
-                    out += [(s, key, n, w, 0, SEPARATOR.join(x)) for s, x in parts.items()]
-            yield pd.DataFrame(out, columns=names)
-
-    return classes.select("key", "n", "codes").mapInPandas(run, fields)
-
-
-def scan(passages: object, stretches: object) -> object:
-    """One shard: the automaton of its passages over its stretches of training texts."""
-    import ahocorasick
+            ids = []
+            for text in batch["codes"]:
+                word, number = elements(numbers(text))
+                # Any total order would do; the rarest first leave the fewest candidates.
+                order = often[word * COUNTED + np.minimum(number, COUNTED - 1)].astype(np.int64) << 42 | word << 22 | number
+                size = prefix_words(len(word))
+                first = np.argpartition(order, size - 1)[:size] if size < len(word) else np.arange(len(word))
+                # Numbers beyond NUMBERED share an id, which can only add to what is counted.
+                ids.append((word[first] * NUMBERED + np.minimum(number[first], NUMBERED - 1)).astype(np.uint32).tobytes())
+            batch["ids"] = ids
+            yield batch[["key", "field", "n", "is_train", "is_eval", "ids"]]
+
+    return classes.select("key", "field", "n", "is_train", "is_eval", "codes").mapInPandas(run, "key bigint, field string, n int, is_train boolean, is_eval boolean, ids binary")
+
+
+def candidates(evals: object, trains: object) -> object:
+    """Pairs of one block that share as many held elements as texts which agree by NEAR must.
+
+    Of the elements of texts of n and m words at least need = NEAR / 2 * (n + m) are shared, so at most n - need
+    and m - need are not.  The side whose held part ends first in the common order has all the shared ones of
+    that part within the other's part.
+    """
+    import numpy as np
     import pandas as pd
 
-    names = ["eval_key", "train_key", "position", "w"]
-    if not len(passages) or not len(stretches):
+    names = ["eval_key", "train_key"]
+    if not len(evals) or not len(trains):
         return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
-    holders: dict[str, list] = {}
-    for key, n, w, position, codes in zip(passages["key"], passages["n"], passages["w"], passages["position"], passages["codes"]):
-        holders.setdefault(codes, []).append((key, n, w, position))
-    automaton = ahocorasick.Automaton()
-    for codes, held in holders.items():
-        automaton.add_word(codes, held)
-    automaton.make_automaton()
+    trains = trains.sort_values("n")
+    ids = [np.frombuffer(x, dtype=np.uint32) for x in trains["ids"]]
+    flat = np.concatenate(ids)
+    by_id = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])[by_id]
+    known, starts = np.unique(flat[by_id], return_index=True)
+    ends = np.r_[starts[1:], len(flat)]
+    del flat, by_id, ids
+    keys, m = trains["key"].to_numpy(), trains["n"].to_numpy().astype(np.int64)
+    held_m = np.ceil(PREFIX * m - 1e-9)
     out = []
-    for key, n, codes in zip(stretches["key"], stretches["n"], stretches["codes"]):
-        low, high = n * NEAR / (2 - NEAR), n * (2 - NEAR) / NEAR
-        for end, held in automaton.iter(codes):
-            # Only matches of whole words.
-            if (end + 1) % WIDTH:
-                continue
-            out += [(k, key, p, w) for k, m, w, p in held if low <= m <= high and k != key]
-    return pd.DataFrame(out, columns=names).drop_duplicates()
-
-
-def covered_pairs(classes: DataFrame) -> DataFrame:
-    """``eval_key, train_key, covered`` for classes (``key, n, codes, is_train, is_eval``) with a common passage."""
+    for key, n, raw in zip(evals["key"], evals["n"], evals["ids"]):
+        mine = np.frombuffer(raw, dtype=np.uint32)
+        at = np.searchsorted(known, mine)
+        at = at[known[np.minimum(at, len(known) - 1)] == mine]
+        shared, parts, size = np.zeros(len(m), dtype=np.int64), [], 0
+        for a, b in zip(starts[at].tolist(), ends[at].tolist()):
+            parts.append(holders[a:b])
+            size += b - a
+            if size >= COUNT_ROWS:
+                shared += np.bincount(np.concatenate(parts), minlength=len(m))
+                parts, size = [], 0
+        if parts:
+            shared += np.bincount(np.concatenate(parts), minlength=len(m))
+        need = np.ceil(NEAR / 2 * (n + m) - 1e-9)
+        least = np.maximum(1, np.minimum(prefix_words(n) - (n - need), held_m - (m - need)))
+        hit = np.flatnonzero((shared >= least) & (need <= np.minimum(n, m)) & (keys != key))
+        out += [(key, k) for k in keys[hit].tolist()]
+    return pd.DataFrame(out, columns=names).astype("int64")
+
+
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """``eval_key, train_key`` of classes (``key, field, n, codes, is_train, is_eval``) that may agree by NEAR; none that does is left out."""
     spark = classes.sparkSession
-    table, words = word_classes(classes)
-    kinds = spark.sparkContext.broadcast(table)
-    shards = max(2 * parallelism(spark), -(-words // SHARD_WORDS))
-    passages = dealt(classes.filter("is_eval"), False, kinds, shards)
-    stretches = dealt(classes.filter("is_train"), True, kinds, shards)
-    hits = passages.groupBy("shard").cogroup(stretches.groupBy("shard")).applyInPandas(scan, "eval_key bigint, train_key bigint, position int, w int")
-    # Intervals [position, position + w) merged in order of position; at most PASSAGES per pair.
-    merged = hits.groupBy("eval_key", "train_key").agg(F.array_sort(F.collect_set(F.struct("position", "w"))).alias("at"))
-    covered = F.aggregate(
-        "at",
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")),
-        lambda s, x: F.struct(
-            F.greatest(s["end"], x["position"] + x["w"]).alias("end"),
-            (s["sum"] + F.greatest(F.lit(0), x["position"] + x["w"] - F.greatest(s["end"], x["position"]))).alias("sum"),
-        ),
-        lambda s: s["sum"],
-    )
-    return merged.select("eval_key", "train_key", covered.alias("covered"))
+    counts = spark.sparkContext.broadcast(element_counts(classes))
+    texts = cut(prefixes(classes, counts).withColumn("range", length_class(F.col("n"))))
+    # As many rows as there are fields and ranges of lengths.
+    sizes = texts.filter("is_train").groupBy("field", "range").agg(F.ceil(F.count("*") / TRAIN_BLOCK).cast("int").alias("parts"))
+    evals = max(1, -(-texts.filter("is_eval").count() // EVAL_BLOCK))
+    part = F.pmod(F.col("key"), F.lit(evals)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    train = texts.filter("is_train").join(F.broadcast(sizes), ["field", "range"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("eval_part", each(F.lit(evals)))
+    near = texts.filter("is_eval").withColumn("eval_part", part).withColumn("range", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)))
+    near = near.join(F.broadcast(sizes), ["field", "range"]).withColumn("part", each(F.col("parts")))
+    block = ["field", "range", "part", "eval_part"]
+    # Both sides come from one table; new columns keep them apart.
+    sides = [x.select(*[F.col(c).alias(c) for c in (*block, "key", "n", "ids")]) for x in (near, train)]
+    return sides[0].groupBy(*block).cogroup(sides[1].groupBy(*block)).applyInPandas(candidates, "eval_key bigint, train_key bigint")
 
 
 def near_pairs(classes: DataFrame) -> DataFrame:
-    """``eval_key, train_key, covered, agree``: covered pairs whose words agree by NEAR or more."""
+    """``eval_key, train_key, agree``: pairs of different classes whose words agree by NEAR or more."""
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             batch["agree"] = [agreement(a, b) for a, b in zip(batch["a"], batch["b"])]
-            yield batch[batch["agree"] >= NEAR][["eval_key", "train_key", "covered", "agree"]]
+            yield batch[batch["agree"] >= NEAR][["eval_key", "train_key", "agree"]]
 
-    pairs = covered_pairs(classes)
+    pairs = cut(candidate_pairs(classes))
     a = classes.filter("is_eval").select(F.col("key").alias("eval_key"), F.col("codes").alias("a"))
     b = classes.filter("is_train").select(F.col("key").alias("train_key"), F.col("codes").alias("b"))
-    return pairs.join(a, "eval_key").join(b, "train_key").select("eval_key", "train_key", "covered", "a", "b").mapInPandas(
-        run, "eval_key bigint, train_key bigint, covered int, agree double"
-    )
+    return pairs.join(a, "eval_key").join(b, "train_key").select("eval_key", "train_key", "a", "b").mapInPandas(run, "eval_key bigint, train_key bigint, agree double")
 
 
 def commit_name(raw: Column) -> Column:
@@ -340,9 +291,9 @@ def overlaps(instances: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     splits = manifest.filter(F.col("split").isin(TRAIN, *EVAL) & F.col("instance_id").isNotNull()).select("instance_id", (F.col("split") == TRAIN).alias("is_train")).distinct()
     texts = coded(instances.select("instance_id", *FIELDS)).join(small(splits), "instance_id")
-    texts = cut(texts.select("instance_id", "is_train", "key", "n", "codes"))
+    texts = cut(texts.select("instance_id", "is_train", "field", "key", "n", "codes"))
     classes = cut(
-        texts.groupBy("key").agg(F.first("n").alias("n"), F.first("codes").alias("codes"), F.max("is_train").alias("is_train"), F.max(~F.col("is_train")).alias("is_eval"))
+        texts.groupBy("key").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("codes").alias("codes"), F.max("is_train").alias("is_train"), F.max(~F.col("is_train")).alias("is_eval"))
     )
     near = near_pairs(classes).select("eval_key", "train_key")
     same = classes.filter("is_train and is_eval").select(F.col("key").alias("eval_key"), F.col("key").alias("train_key"))
