@@ -335,3 +335,29 @@ def test_mojibake_round_trips(spark):
     assert got == {i: SENTENCES[k] for i, _, k in bad}
     lossy = spark.createDataFrame([(999, "P�niej okaza�o si�, �e w�tki", "x")], "doc_id long, text string, source string")
     assert [(r["doc_id"], r["restored"]) for r in mojibake.repaired(docs.unionByName(lossy), model).filter("doc_id = 999").collect()] == [(999, None)]
+
+
+PASSAGES = {
+    ("ru", "cp1251", "latin-1"): "Мы проверили очередь сообщений после обновления и нашли ошибку в журнале, которая повторяется каждую ночь при запуске большой задачи на сервере.",
+    ("ru", "koi8_r", "cp1251"): "Мы проверили очередь сообщений после обновления и нашли ошибку в журнале, которая повторяется каждую ночь при запуске большой задачи на сервере.",
+    ("ja", "euc_jp", "latin-1"): "この変更は設定ファイルの読み込みを修正し、起動時の警告を消します。次の版で確認してください。",
+}
+
+
+def test_mojibake_passage_in_a_sound_line():
+    """A few garbled words of a line whose other words are sound."""
+    from collections import Counter
+
+    held = Counter()
+    for text in set(PASSAGES.values()):
+        held.update({c: 50 for c in mojibake.CJK.findall(text)})
+        for w in mojibake.WORD.findall(text):
+            held.update({x + y: 50 for x, y in zip(" " + w, w + " ")})
+    d = mojibake.Detector(held)
+    for (lang, true, read), text in PASSAGES.items():
+        assert d.evidence(text) == {}
+        at, end = (8, 16) if lang == "ja" else (text.index("после"), text.index(" и нашли"))
+        bad = text[:at] + text[at:end].encode(true).decode(read) + text[end:]
+        found = d.evidence(bad)
+        chain = max(found, key=found.get)
+        assert found[chain] > 5 and d.restore(bad, chain) == text

@@ -41,6 +41,8 @@ LOSSY = "lossy"
 POOR = -2.9
 #: Least gain per character of a legacy chain, and the weight of single characters in the model.
 GAIN, BACKOFF = 0.35, 5.0
+#: What the evidence of a run of neighbouring words must exceed, and the words kept by a worker.
+RUN_LEAST, KNOWN_WORDS = 5.0, 100_000
 #: Evidence of one valid multi-byte sequence: how much rarer it is in sound text.
 SEQUENCE = 4.0
 
@@ -49,7 +51,7 @@ PLAUSIBLE = re.compile(r"[ -ſƒˆ˜Ș-țЀ-џҐґ‐-›€№™←-⇿∀-
 QUOTED = re.compile(r"`([^`\n]{1,40})`|\"([^\"\n]{1,40})\"|'([^'\n]{1,40})'|“([^”\n]{1,40})”|«([^»\n]{1,40})»")
 ESCAPE = re.compile(r"&#(?:\d{2,6}|x[0-9a-fA-F]{2,5});|&[A-Za-z]{2,8}\d{0,2};|\\u00[0-9a-fA-F]{2}|\\x[89a-fA-F][0-9a-fA-F]")
 CJK = re.compile(r"[　-ヿ一-鿿가-힣！-～]")
-WORD = re.compile(r"[A-Za-z\x80-џ–-⁄€№™ˆ˜ƒ]*[\x80-џƒˆ˜€™‚„†‡‰][A-Za-z\x80-џ–-⁄€№™ˆ˜ƒ]*")
+WORD = re.compile(r"[A-Za-z\x80-џҐґ–-⁄€№™ˆ˜ƒ]*[\x80-џҐґƒˆ˜€™‚„†‡‰][A-Za-z\x80-џҐґ–-⁄€№™ˆ˜ƒ]*")
 WIDE_RUN = re.compile(r"[⺀-鿿가-힣豈-﫿＀-￯-　-ヿ€�]{2,}")
 #: One wide character in a Latin word: an accented letter read as half of something else.
 INSIDE_WORD = re.compile(r"(?<=[A-Za-z])[一-鿿가-힣](?![⺀-鿿가-힣豈-﫿])")
@@ -114,6 +116,8 @@ class Detector:
         self.runs = {c: re.compile("[" + "".join(re.escape(chr(x)) for x in sorted(self.bytes[c])) + "]{2,}") for c in UTF8_READ_AS}
         self.single = {(t, w): {c: chars_of(t)[b] for c, b in self.bytes[w].items()} for t, w in SINGLE}
         self.memo: dict[str, float] = {}
+        self.known: dict[str, tuple[float, dict]] = {}
+        self.not_latin = re.compile("[^\\x00-\\x7f" + "".join(re.escape(chr(x)) for x in sorted(self.bytes["latin"])) + "]+")
 
     def score(self, word: str) -> float:
         """Log probability of a word's characters under the model of pairs."""
@@ -192,19 +196,60 @@ class Detector:
                         break
         return text
 
-    def poor_lines(self, text: str) -> list[tuple[int, str, list[str], float]]:
-        """Lines whose words beyond ASCII the model finds improbable."""
+    def gains(self, word: str) -> tuple[float, dict[tuple[str, str], float]]:
+        """Score of a word, and what each legacy chain that changes it would gain."""
+        held = self.known.get(word)
+        if held is None:
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            before = self.score(word)
+            changed = ((pair, word.translate(table)) for pair, table in self.single.items())
+            held = self.known[word] = before, {pair: self.score(x) - before for pair, x in changed if x != word}
+        return held
+
+    def lines(self, text: str) -> list[tuple[int, str, list[str], float, bool]]:
+        """``start, line, words, score, poor`` of lines beyond ASCII; poor ones the model finds improbable as a whole."""
         out, at = [], 0
         for line in text.split("\n"):
             if not line.isascii():
                 words = WORD.findall(line)
                 n = sum(map(len, words)) + len(words)
-                total = sum(map(self.score, words))
-                if n and total / n < POOR:
-                    out.append((at, line, words, total))
+                total = sum(self.gains(w)[0] for w in words)
+                if n:
+                    out.append((at, line, words, total, total / n < POOR))
             at += len(line) + 1
         return out
 
+    def passages(self, words: list[str], pair: tuple[str, str]) -> list[tuple[int, int, float]]:
+        """``first, last, gain`` of the runs of neighbouring words that gain most under a chain and enough for their size."""
+        out, total, best, first, last = [], 0.0, 0.0, 0, -1
+        for i, w in enumerate([*words, None]):
+            if w is not None:
+                g = self.gains(w)[1].get(pair, 0.0)
+                if total <= 0:
+                    if g <= 0:
+                        continue
+                    total, best, first, last = 0.0, 0.0, i, i - 1
+                total += g
+                if total > best:
+                    best, last = total, i
+            if best > 0 and (w is None or total <= 0 or total < best - RUN_LEAST):
+                # A run ends where sound words take back more than chance would.
+                if best > GAIN * sum(len(x) + 1 for x in words[first : last + 1]) and 0.7 * best > RUN_LEAST:
+                    out.append((first, last, best))
+                total, best = 0.0, 0.0
+        return out
+
+    def stretches(self, line: str) -> list[tuple[int, int]]:
+        """Parts of a line between letters that are not of the latin encodings."""
+        out, at = [], 0
+        for m in [*self.not_latin.finditer(line), None]:
+            end = m.start() if m else len(line)
+            if end > at and not line[at:end].isascii():
+                out.append((at, end))
+            at = m.end() if m else end
+        return out
+
     def evidence(self, text: str) -> dict[str, float]:
         """``chain -> log-likelihood ratio`` against sound text; chains without any are left out."""
         text = unescape(text)
@@ -226,17 +271,22 @@ class Detector:
         lost = len(LOST.findall(plain))
         if lost:
             add(LOSSY, 4.0 * lost)
-        for _, line, words, before in self.poor_lines(plain):
+        for _, line, words, before, poor in self.lines(plain):
             size = sum(map(len, words)) + len(words)
-            for pair in SINGLE:
-                table = self.single[pair]
-                after = sum(self.score(w.translate(table)) for w in words)
-                if after - before > GAIN * size:
-                    add(f"{pair[0]}>{pair[1]}", 0.7 * (after - before) - 3.0)
-            for codec, fixed in self.wide_fixes(line):
-                gain = self.wide_score(fixed)
-                if gain > 0:
-                    add(f"{codec}>latin", 0.5 * gain - 0.3 * before - 3.0)
+            for pair in SINGLE if any(g > 0 for w in words for g in self.gains(w)[1].values()) else ():
+                gain = sum(self.gains(w)[1].get(pair, 0.0) for w in words)
+                whole = 0.7 * gain - 3.0 if poor and gain > GAIN * size else 0.0
+                runs = sum(0.7 * g - RUN_LEAST for *_, g in self.passages(words, pair))
+                if whole or runs:
+                    add(f"{pair[0]}>{pair[1]}", max(whole, runs) if runs else whole)
+            if poor or any(self.gains(w)[0] < POOR * (len(w) + 1) for w in words):
+                for a, b in self.stretches(line):
+                    held = WORD.findall(line[a:b])
+                    least = 3.0 if poor else RUN_LEAST
+                    for codec, fixed in self.wide_fixes(line[a:b]):
+                        gain = self.wide_score(fixed)
+                        if gain > 0:
+                            add(f"{codec}>latin", 0.5 * gain - 0.3 * sum(self.gains(w)[0] for w in held) - least)
         if max((e for c, e in out.items() if c.startswith("utf_8")), default=0) >= 2 * SEQUENCE:
             # Valid sequences explain a text better than a legacy chain that makes other letters of them.
             out = {c: e for c, e in out.items() if tuple(c.split(">")) not in self.single}
@@ -267,12 +317,17 @@ class Detector:
                 if e > 0:
                     text = text[:a] + s + text[b:]
             return self.restore(text, chain, depth - 1) if depth > 1 and read in self.runs and any(e > 0 for *_, e in self.utf8_runs(text, read)) else text
-        for at, line, words, before in reversed(self.poor_lines(text)):
+        for at, line, words, _, poor in reversed(self.lines(text)):
             if read == "latin" and true in WIDE:
-                fixed = next((f for c, f in self.wide_fixes(line) if c == true), line)
+                fixed = line
+                for a, b in reversed(self.stretches(line)):
+                    fixed = fixed[:a] + next((f for c, f in self.wide_fixes(line[a:b]) if c == true), line[a:b]) + fixed[b:]
             else:
-                table = self.single[true, read]
-                fixed = WORD.sub(lambda m: m.group().translate(table) if self.score(m.group().translate(table)) > self.score(m.group()) else m.group(), line)
+                pair = true, read
+                runs = self.passages(words, pair)
+                inside = {i for a, b, _ in runs for i in range(a, b + 1)} if runs or not poor else set(range(len(words)))
+                order = iter(range(len(words)))
+                fixed = WORD.sub(lambda m: m.group().translate(self.single[pair]) if next(order) in inside and self.gains(m.group())[1].get(pair, 0.0) > 0 else m.group(), line)
             text = text[:at] + fixed + text[at + len(line) :]
         return text
 
