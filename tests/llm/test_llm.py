@@ -232,6 +232,18 @@ def test_split_keeps_repos_and_quotas(spark):
     assert all(abs(a - b) <= max(0.03, largest) for a, b in zip(shares, (0.7, 0.1, 0.2)))
 
 
+def test_split_meets_the_quotas_of_all_labels(spark):
+    """Repositories of two labels each, of which only the larger would count as theirs."""
+    rows = [(f"i{r}.{k}", f"o/r{r:02d}", "even" if k < 6 else f"b{r // 20}", "py", TS) for r in range(40) for k in range(11)]
+    inst = spark.createDataFrame(rows, "instance_id string, repo string, source_benchmark string, language string, ingested_at timestamp")
+    moves = spark.createDataFrame([], "old_repo string, new_repo string")
+    config = spark.createDataFrame([("release", 42, 0.1, 0.2)], "config_name string, seed long, validation_fraction double, test_fraction double")
+    out = {r["instance_id"]: r["split"] for r in grouped_split.grouped_split(inst, moves, config).collect()}
+    for label in ("even", "b0", "b1"):
+        of = [out[i] for i, _, b, *_ in rows if b == label]
+        assert [of.count(x) / len(of) for x in grouped_split.SPLITS] == pytest.approx([0.7, 0.1, 0.2], abs=0.01)
+
+
 def test_min_cost_flow_small():
     arcs = [(0, 1, 5, 0), (0, 2, 5, 0), (1, 3, 4, 1), (1, 4, 9, 3), (2, 3, 4, 2), (2, 4, 9, 2), (3, 5, 5, 0), (4, 5, 9, 0)]
     flow = grouped_split.min_cost_flow(6, arcs, 0, 5)

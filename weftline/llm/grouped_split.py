@@ -1,9 +1,11 @@
 """Splits that keep related records together (problem 5).
 
 Repositories are named in many ways and move; connected components over normalised names and moves
-are found by alternating large-star and small-star rounds.  Components are bundled by size and label
-profile, a min-cost flow with deviation costs divides every bundle over the splits, the flow is
-rounded to whole members, and members take their split by the rank of their hash.
+are found by alternating large-star and small-star rounds.  The largest components are bundles of
+their own, the others are bundled by size and most frequent label; each bundle carries the counts of
+all its labels.  A min-cost flow with deviation costs divides every bundle over the splits, the flow
+is rounded to whole members, moves and exchanges of members bring the labels nearer to their quotas,
+and members take their split by the rank of their hash.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 from weftline.runtime import cut, small
 
 SPLITS = ("calibration", "validation", "test")
-#: A component with at least this share of the records is a bundle of its own; there are at most 1 / OWN of them.
-OWN = 0.002
+#: So many components, the largest with more than one record, are bundles of their own.
+OWN = 1000
+#: Rounds of moves and exchanges over all bundles.
+BETTER_ROUNDS = 20
 #: Ratio between the size classes of the other bundles.
 SIZE_STEP = 1.25
 #: Cost of a record beyond a split's quota, against 1 for one beyond a label's quota within it.
@@ -156,42 +160,94 @@ def quotas(total: int, fractions: Sequence[float]) -> list[int]:
     return parts
 
 
-def flows(bundles: Mapping[str, tuple[int, int, str]], wanted: Mapping[tuple[str, int], float], room: Sequence[float]) -> dict[str, list[int]]:
+Bundles = Mapping[str, tuple[int, int, Mapping[str, int]]]
+
+
+def flows(bundles: Bundles, wanted: Mapping[tuple[str, int], float], room: Sequence[float]) -> dict[str, list[int]]:
     """Records of each bundle per split by a cheapest flow.
 
-    It goes from a bundle to the (label, split) nodes of its label, on to the splits and to the
-    sink; what a (label, split) takes beyond ``wanted`` or a split beyond ``room`` costs.
+    It goes from a bundle to the (label, split) nodes of all its labels, as many records as it has of
+    each, on to the splits and to the sink; what a (label, split) takes beyond ``wanted`` or a split
+    beyond ``room`` costs.
     """
     names, k = sorted(bundles), len(room)
-    labels = sorted({b[2] for b in bundles.values()})
-    at = {x: 1 + len(names) + i * k for i, x in enumerate(labels)}
-    sink = 1 + len(names) + len(labels) * k + k
+    labels = sorted({x for b in bundles.values() for x in b[2]})
+    # A bundle's records of one label are a node, so that each label keeps its number.
+    parts = [(i, x, n) for i, name in enumerate(names) for x, n in sorted(bundles[name][2].items())]
+    at = {x: 1 + len(parts) + i * k for i, x in enumerate(labels)}
+    sink = 1 + len(parts) + len(labels) * k + k
     total = sum(b[1] for b in bundles.values())
-    arcs, first = [], {}
-    for i, x in enumerate(names, 1):
-        _, records, label = bundles[x]
-        arcs.append((0, i, records, 0))
-        first[x] = len(arcs)
-        arcs += [(i, at[label] + s, records, 0) for s in range(k)]
+    arcs, first = [], []
+    for j, (_, label, n) in enumerate(parts, 1):
+        arcs.append((0, j, n, 0))
+        first.append(len(arcs))
+        arcs += [(j, at[label] + s, n, 0) for s in range(k)]
     for x in labels:
         for s in range(k):
             arcs += [(at[x] + s, sink - k + s, max(0, round(wanted[x, s])), 0), (at[x] + s, sink - k + s, total, 1)]
     for s in range(k):
         arcs += [(sink - k + s, sink, max(0, round(room[s])), 0), (sink - k + s, sink, total, OVERALL_COST)]
     flow = min_cost_flow(sink + 1, arcs, 0, sink)
-    return {x: [flow[first[x] + s] for s in range(k)] for x in names}
-
-
-def allocate(bundles: Mapping[str, tuple[int, int, str]], fractions: Sequence[float]) -> dict[str, list[int]]:
-    """Members of each bundle per split; a bundle is ``(members, records, label)``.
+    out = {x: [0] * k for x in names}
+    for (i, *_), j in zip(parts, first):
+        for s in range(k):
+            out[names[i]][s] += flow[j + s]
+    return out
+
+
+def improve(bundles: Bundles, given: dict[str, list[int]], wanted: Mapping[tuple[str, int], float], room: Sequence[float]) -> None:
+    """Moves and exchanges single members while that lowers the cost of all deviations; ``wanted`` and ``room`` are what is left."""
+    import numpy as np
+
+    names = sorted(bundles, key=lambda x: (-bundles[x][1] / bundles[x][0], x))
+    labels = {x: i for i, x in enumerate(sorted({x for b in bundles.values() for x in b[2]}))}
+    k = len(room)
+    # A member's records per label; the last column is all of them, which weigh more.
+    each = np.zeros((len(names) + 1, len(labels) + 1))
+    for i, x in enumerate(names):
+        for label, n in bundles[x][2].items():
+            each[i, labels[label]] = n / bundles[x][0]
+    each[:, -1] = each.sum(axis=1)
+    weight = np.r_[np.ones(len(labels)), OVERALL_COST]
+    left = np.array([[*(wanted[x, s] for x in labels), room[s]] for s in range(k)])
+    held = np.array([given[x] for x in names] + [[1] * k])  # The last one is the member without records, for moves.
+    for _ in range(BETTER_ROUNDS):
+        changed = False
+        for i in range(len(names)):
+            for s in range(k):
+                for t in range(k):
+                    if s == t or not held[i, s]:
+                        continue
+                    other = np.flatnonzero(held[:, t] > 0)
+                    d = each[i] - each[other]
+                    cost = (np.abs(left[s] + d) + np.abs(left[t] - d)) @ weight
+                    j = int(cost.argmin())
+                    if cost[j] < (np.abs(left[s]) + np.abs(left[t])) @ weight - 1e-6:
+                        left[s] += d[j]
+                        left[t] -= d[j]
+                        held[i, s] -= 1
+                        held[i, t] += 1
+                        if other[j] < len(names):
+                            held[other[j], t] -= 1
+                            held[other[j], s] += 1
+                        changed = True
+        if not changed:
+            break
+    for i, x in enumerate(names):
+        given[x] = held[i].tolist()
+
+
+def allocate(bundles: Bundles, fractions: Sequence[float]) -> dict[str, list[int]]:
+    """Members of each bundle per split; a bundle is ``(members, records, records of each label)``.
 
     The flow is rounded in two steps: bundles of one member from the largest down, then, after a
-    second flow over the quotas that are left, the others member by member.
+    second flow over the quotas that are left, the others member by member; ``improve`` follows.
     """
     total, k = sum(b[1] for b in bundles.values()), len(fractions)
     weight: dict[str, int] = {}
-    for _, records, label in bundles.values():
-        weight[label] = weight.get(label, 0) + records
+    for _, _, held in bundles.values():
+        for label, n in held.items():
+            weight[label] = weight.get(label, 0) + n
     room = [float(q) for q in quotas(total, fractions)]
     wanted = {(x, s): float(q) for x in weight for s, q in enumerate(quotas(weight[x], fractions))}
     given: dict[str, list[int]] = {}
@@ -199,19 +255,27 @@ def allocate(bundles: Mapping[str, tuple[int, int, str]], fractions: Sequence[fl
     for part in (single, {x: b for x, b in bundles.items() if b[0] > 1}):
         flow = flows(part, wanted, room) if part else {}
         for x in sorted(part, key=lambda x: (-part[x][1] / part[x][0], x)):
-            members, records, label = part[x]
+            members, records, held = part[x]
             each = records / members
+            profile = {label: n / members for label, n in held.items()}
             exact = [f / each for f in flow[x]]
             parts = [int(e) for e in exact] if members > 1 else [0] * k
+
+            def take(s: int, n: int, each: float = each, profile: Mapping[str, float] = profile) -> None:
+                room[s] -= n * each
+                for label, c in profile.items():
+                    wanted[label, s] -= n * c
+
             for s in range(k):
-                room[s] -= parts[s] * each
-                wanted[label, s] -= parts[s] * each
+                take(s, parts[s])
             for _ in range(members - sum(parts)):
-                s = max(range(k), key=lambda s: (min(room[s], each) * OVERALL_COST + min(wanted[label, s], each), exact[s] - parts[s], -s))
+                fits = lambda s: min(room[s], each) * OVERALL_COST + sum(min(wanted[label, s], c) for label, c in profile.items())  # noqa: B023, E731
+                s = max(range(k), key=lambda s: (fits(s), exact[s] - parts[s], -s))
                 parts[s] += 1
-                room[s] -= each
-                wanted[label, s] -= each
+                take(s, 1)
             given[x] = parts
+    if bundles:
+        improve(bundles, given, wanted, room)
     return given
 
 
@@ -238,15 +302,19 @@ def grouped_split(instances: DataFrame, moves: DataFrame, config: DataFrame, nam
         F.concat_ws("|", F.coalesce("source_benchmark", F.lit("?")), F.coalesce("language", F.lit("?"))).alias("label"),
     )
     keyed = cut(keyed)
-    counts = keyed.groupBy("grp", "label").count()
-    total = keyed.count()
+    counts = cut(keyed.groupBy("grp", "label").count())
     groups = counts.groupBy("grp").agg(F.sum("count").alias("size"), F.max_by("label", F.struct("count", "label")).alias("main"))
+    largest = groups.filter("size > 1").orderBy(F.desc("size"), "grp").limit(OWN).select("grp", F.lit(True).alias("own"))
     size_class = F.floor(F.log(SIZE_STEP, F.col("size"))).cast("string")
-    bundle = F.when(F.col("size") >= OWN * total, F.concat(F.lit("own:"), "grp")).otherwise(F.concat(F.lit("all:"), size_class, F.lit(":"), "main"))
-    groups = cut(groups.withColumn("bundle", bundle).withColumn("h", F.xxhash64(F.lit(seed), "grp")).withColumn("range", F.pmod("h", F.lit(RANGES))))
-    # Bounded by 1 / OWN big ones and (size classes x labels) of the others.
-    table = groups.groupBy("bundle").agg(F.count("*").alias("members"), F.sum("size").alias("records"), F.first("main").alias("main")).collect()
-    given = allocate({r["bundle"]: (r["members"], r["records"], r["main"]) for r in table}, fractions)
+    bundle = F.when(F.col("own"), F.concat(F.lit("own:"), "grp")).otherwise(F.concat(F.lit("all:"), size_class, F.lit(":"), "main"))
+    groups = groups.join(F.broadcast(largest), "grp", "left").withColumn("bundle", bundle).drop("own")
+    groups = cut(groups.withColumn("h", F.xxhash64(F.lit(seed), "grp")).withColumn("range", F.pmod("h", F.lit(RANGES))))
+    # Bounded by OWN big ones and (size classes x labels) of the others, times the labels.
+    table = groups.groupBy("bundle").agg(F.count("*").alias("members"), F.sum("size").alias("records")).collect()
+    profiles: dict[str, dict[str, int]] = {}
+    for r in groups.select("grp", "bundle").join(counts, "grp").groupBy("bundle", "label").agg(F.sum("count").alias("n")).collect():
+        profiles.setdefault(r["bundle"], {})[r["label"]] = r["n"]
+    given = allocate({r["bundle"]: (r["members"], r["records"], profiles[r["bundle"]]) for r in table}, fractions)
     ends = spark.createDataFrame([(b, p[0], p[0] + p[1]) for b, p in given.items()], "bundle string, first_end bigint, second_end bigint") if given else spark.createDataFrame([], "bundle string, first_end bigint, second_end bigint")
     ranges = groups.groupBy("bundle", "range").agg(F.count("*").alias("n"))
     before = ranges.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("bundle").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
