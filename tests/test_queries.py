@@ -39,3 +39,10 @@ def test_query(name, spark, duck):
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert rows == sorted(repr([norm(r[i]) for i in at]) for r in rel.fetchall())
+
+
+def test_every_fiftieth_document_searches(spark, duck):
+    """With or without a source, so that searches grow with the data."""
+    got = {r["query"] for r in QUERIES["bm25_search"](spark, DATA).select("query").distinct().collect()}
+    ids = {r[0] for r in duck.sql("select doc_id from documents where doc_id % 50 = 0 and regexp_matches(text, '[A-Za-z_][A-Za-z_0-9]{2}')").fetchall()}
+    assert got >= ids and all(q % 50 == 0 for q in got) and got

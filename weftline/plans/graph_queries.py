@@ -10,7 +10,7 @@ from weftline.operators import graph as G
 from weftline.operators import ranking
 from weftline.operators import relations as R
 from weftline.plans.edge_queries import COCHANGE_EDGES, COCHANGE_SQL, MERGED_SQL, fragment_edges
-from weftline.plans.registry import query
+from weftline.plans.registry import Query, query
 from weftline.runtime import cut, table
 
 # Seeds of the co-change graph: parts of the largest order.
@@ -140,6 +140,17 @@ def source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.tokens(source_queries(spark, sf_dir), "query", "x").select(F.col("doc").alias("query"), "term")
 
 
+# Every fiftieth document as a search; the queries of sources above keep their own SQL.
+EVERY = 50
+DOCUMENT_QUERY_SQL = f"qq AS (SELECT doc_id AS query, text AS x FROM documents WHERE doc_id % {EVERY} = 0 AND text IS NOT NULL)"
+
+
+def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of every document whose id is divisible by EVERY, with or without a source."""
+    d = table(spark, sf_dir, "documents").filter((F.col("doc_id") % EVERY == 0) & F.col("text").isNotNull())
+    return ranking.tokens(d, "doc_id", "text").select(F.col("doc").alias("query"), "term")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(ranking.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"))
 
@@ -149,12 +160,17 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(ranking.bm25(corpus(spark, sf_dir), source_terms(spark, sf_dir)))
 
 
+@query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL} SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(ranking.bm25(corpus(spark, sf_dir), document_terms(spark, sf_dir)))
+
+
 # A second channel over the same documents: names shared with the query, by count.
 OVERLAP_SQL = "ov AS (SELECT query, doc, count(*)::DOUBLE AS score FROM q JOIN k USING (term) GROUP BY 1, 2)"
 
 
-def two_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    k, q = corpus(spark, sf_dir), cut(source_terms(spark, sf_dir).distinct())
+def two_channels(spark: SparkSession, sf_dir: str, terms: Query = source_terms) -> tuple[DataFrame, DataFrame]:
+    k, q = corpus(spark, sf_dir), cut(terms(spark, sf_dir).distinct())
     return cut(ranking.bm25(k, q)), q.join(k, "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score"))
 
 
@@ -167,6 +183,11 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rrf(*two_channels(spark, sf_dir))
 
 
+@query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL}, {OVERLAP_SQL}, {RANKS_SQL} SELECT query, doc, round(coalesce(1.0::DOUBLE / (60 + ra.r), 0) + coalesce(1.0::DOUBLE / (60 + rb.r), 0), 8) AS score FROM ra FULL JOIN rb USING (query, doc)")
+def rrf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rrf(*two_channels(spark, sf_dir, document_terms))
+
+
 @query(f"""WITH {QUERY_SQL}, {BM25_SQL}, {OVERLAP_SQL}, {RANKS_SQL} SELECT query, doc, round(0.65::DOUBLE * coalesce(rb.p, 0) + 0.35::DOUBLE * coalesce(ra.p, 0) + CASE WHEN ra.r <= 20 AND rb.r <= 20 THEN 0.10::DOUBLE ELSE 0 END, 8) AS score
     FROM ra FULL JOIN rb USING (query, doc)""")
 def pit_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +195,13 @@ def pit_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.pit(b, a)
 
 
+@query(f"""WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL}, {OVERLAP_SQL}, {RANKS_SQL} SELECT query, doc, round(0.65::DOUBLE * coalesce(rb.p, 0) + 0.35::DOUBLE * coalesce(ra.p, 0) + CASE WHEN ra.r <= 20 AND rb.r <= 20 THEN 0.10::DOUBLE ELSE 0 END, 8) AS score
+    FROM ra FULL JOIN rb USING (query, doc)""")
+def pit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = two_channels(spark, sf_dir, document_terms)
+    return ranking.pit(b, a)
+
+
 @query(f"WITH {QUERY_SQL}, {BM25_SQL} SELECT query, arg_min(doc, struct_pack(s := -score, d := doc)) AS doc FROM bm JOIN (SELECT source, min(doc_id) AS own FROM documents WHERE text IS NOT NULL GROUP BY 1) o ON query = source WHERE doc <> own GROUP BY 1")
 def bm25_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one best document beside the change itself."""
@@ -188,3 +216,18 @@ def rare_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = corpus(spark, sf_dir)
     rare = k.groupBy("term").agg(F.count("*").alias("df")).filter("df <= 3").select("term")
     return source_terms(spark, sf_dir).join(rare, "term").join(k, "term").select("query", "doc").distinct()
+
+
+@query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL} SELECT query, arg_min(doc, struct_pack(s := -score, d := doc)) AS doc FROM bm WHERE doc <> query GROUP BY 1")
+def discovery_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one best document beside each searching document."""
+    s = ranking.bm25(corpus(spark, sf_dir), document_terms(spark, sf_dir)).filter("doc <> query")
+    return s.groupBy("query").agg(F.min_by("doc", F.struct(-F.col("score"), F.col("doc"))).alias("doc"))
+
+
+@query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL} SELECT DISTINCT query, doc FROM q JOIN df USING (term) JOIN k USING (term) WHERE df <= 3")
+def rare_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``rare_discovery`` for each searching document."""
+    k = corpus(spark, sf_dir)
+    rare = k.groupBy("term").agg(F.count("*").alias("df")).filter("df <= 3").select("term")
+    return document_terms(spark, sf_dir).join(rare, "term").join(k, "term").select("query", "doc").distinct()
