@@ -78,6 +78,11 @@ def test_percentiles_count_each_result_once(spark):
     whole = {(r["source_benchmark"], r["measure"]): r for r in quantile_sketch.percentiles_of(quantile_sketch.over_days(days), ["source_benchmark", "measure"]).collect()}
     assert whole["b", "used_tokens"]["n"] == 201 and whole["b", "used_tokens"]["high"] == 6 and whole[None, "elapsed_seconds"]["n"] == 100
     assert quantile_sketch.day_sketches(df.limit(0)).count() == 0
+    # Fewer salts than partitions, and more of them than one round takes: still one sketch of a key.
+    long = spark.range(20_000).select(F.lit("k").alias("g"), F.col("id").cast("double").alias("v")).repartition(150)
+    parts = quantile_sketch.sketch_partitions(long, ["g"], "v", 64, 128)
+    got = quantile_sketch.percentiles_of(quantile_sketch.merge_sketches(parts, ["g"], 2, 64), ["g"], k=64).collect()
+    assert len(got) == 1 and got[0]["n"] == 20_000 and abs(got[0]["p50"] - 10_000) <= got[0]["rank_error"] + 1
 
 
 # 3 --------------------------------------------------------------------------------------------
@@ -254,18 +259,29 @@ def test_min_cost_flow_small():
 
 
 @pytest.mark.parametrize("text", ["", "a", "x" * 30_000, "äöü" * 9000, "\n" * 9000, "line of words here\n" * 1200, "para one.\n\npara two, longer.\n" * 900, "漢字。" * 8000, "a\r\nb\r\n" * 4000])
-@pytest.mark.parametrize("limit,overlap", [(2000, 120), (512, 32), (64, 0)])
+@pytest.mark.parametrize("limit,overlap", [(2000, 120), (512, 32), (64, 0), (64, 60), (3, 1)])
 def test_pieces(text, limit, overlap):
     raw = text.encode()
     at = 0
+    share = piece_cut.overlap_bytes(limit, overlap)
+    assert share == 4 * overlap or overlap > limit / 2 - 1
     for k, (begin, shared, piece) in enumerate(piece_cut.pieces(text, limit, overlap)):
         assert piece_cut.tokens_of_bytes(len(piece.encode())) <= limit
-        assert begin + shared == at and (not k or 4 * overlap <= shared <= 4 * overlap + 3)
+        assert begin + shared == at and (not k or share <= shared <= share + 3)
         assert raw[begin : begin + len(piece.encode())].decode() == piece
         at = begin + len(piece.encode())
     assert at == len(raw)
 
 
+def test_latest_delivery_is_cut(spark):
+    """An id whose last text is small is not cut from an earlier, larger one; a profile that is out of range cuts nothing."""
+    rows = [(1, 1, "x" * 9000, TS), (1, 1, "short", TS + dt.timedelta(days=1)), (2, 1, "short", TS), (2, 3, "y" * 9000, TS + dt.timedelta(days=1)), (3, 1, "z" * 9000, TS), (3, 1, None, TS + dt.timedelta(days=2))]
+    df = spark.createDataFrame(rows, "fragment_id long, start_line int, content string, ingested_at timestamp")
+    limits = spark.createDataFrame([("default", 2000, None), ("wide", 9000, 1), ("off", None, 1), ("zero", 0, 1)], "profile string, max_tokens int, overlap_tokens int")
+    assert sorted((r["fragment_id"], r["profile"], r["start_line"]) for r in piece_cut.oversized(df, limits).collect()) == [(2, "default", 3), (3, "default", 1)]
+    assert piece_cut.oversized(df, limits.limit(0)).count() == 0
+
+
 def test_piece_lines(spark):
     text = "\n".join(f"line {i}" for i in range(3000))
     df = fragments(spark, [("r", "p", 7, text), ("r", "p", None, None), ("r", "p", 1, "short")])
@@ -298,20 +314,34 @@ def test_encoding_equals_the_reference_library(spark):
 # 8 --------------------------------------------------------------------------------------------
 
 
-def test_pfair_deviates_less_than_a_block():
-    blocks = {"a": 100, "b": 37, "c": 5, "d": 1, "e": 0}
-    total, given = sum(blocks.values()), dict.fromkeys(blocks, 0)
+def walk(order):
+    """The greatest deviation of any source from its share over all prefixes of ``(source, size)``."""
+    order = list(order)
+    whole, given, t, worst = {}, {}, 0, 0.0
+    for s, n in order:
+        whole[s] = whole.get(s, 0) + n
+    total = sum(whole.values())
+    for s, n in order:
+        given[s] = given.get(s, 0) + n
+        t += n
+        worst = max(worst, *(abs(given.get(x, 0) - t * w / total) for x, w in whole.items()))
+    return worst
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pfair_deviates_less_than_a_block(seed):
+    rng = random.Random(seed)
+    blocks = {f"s{k}": [rng.choice([1, 3, 20, 400]) for _ in range(rng.choice([1, 5, 37, 400]))] for k in range(9)} | {"e": []}
     order = source_mix.pfair(blocks)
-    assert len(order) == total
-    for t, (s, j) in enumerate(order, 1):
-        assert j == given[s]
-        given[s] += 1
-        assert all(abs(given[x] - t * n / total) < 1 for x, n in blocks.items())
+    assert sorted(order) == sorted((s, j) for s, sizes in blocks.items() for j in range(len(sizes)))
+    assert all(j == k for s in blocks for k, j in enumerate(j for x, j in order if x == s))
+    assert walk((s, blocks[s][j]) for s, j in order) <= max(max(sizes, default=0) for sizes in blocks.values())
 
 
 def test_mix_reaches_its_shares(spark):
     rng = random.Random(3)
-    docs = [(i, s, rng.randint(0, 60)) for i, s in enumerate(["big"] * 3000 + ["mid"] * 600 + ["small"] * 60 + ["none"] * 9)]
+    size = lambda: 900 if rng.random() < 0.02 else rng.randint(0, 60)
+    docs = [(i, s, size()) for i, s in enumerate(["big"] * 3000 + ["mid"] * 600 + ["small"] * 60 + ["none"] * 9)]
     docs.append((9999, None, 5))
     counted = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("big", 3.0, 1), ("mid", 2.0, 2), ("small", 0.5, 4), ("absent", 1.0, 9), (None, 1.0, 1)], "source string, target_weight double, max_repeats int")
@@ -323,10 +353,20 @@ def test_mix_reaches_its_shares(spark):
     cap = {"big": 1, "mid": 2, "small": 4}
     assert all(uses[r["doc_id"]] <= cap[r["source"]] for r in rows)
     for r in source_mix.shares(mixed, targets).collect():
-        assert r["source"] == "absent" and r["n_tokens"] == 0 or abs(r["actual_share"] - r["target_share"]) < 0.01
+        assert r["source"] == "absent" and r["n_tokens"] == r["target_share"] == 0 or abs(r["actual_share"] - r["target_share"]) < 0.01
+    # Read in its order, no source is ever a longest document away from its share.
+    rows.sort(key=lambda r: (r["slot"], r["position"], r["doc_id"], r["repeat_no"]))
+    assert walk((r["source"], r["n_tokens"]) for r in rows) <= 900
     assert source_mix.mix(counted.limit(0), targets).count() == 0
 
 
+def test_mix_refuses_more_sources_than_it_holds(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "MAX_SOURCES", 2)
+    counted = spark.createDataFrame([(i, f"s{i}", 5) for i in range(3)], "doc_id long, source string, n_tokens long")
+    with pytest.raises(ValueError):
+        source_mix.mix(counted, spark.createDataFrame([(f"s{i}", 1.0, 1) for i in range(3)], "source string, target_weight double, max_repeats int"))
+
+
 # 9 --------------------------------------------------------------------------------------------
 
 SENTENCES = {

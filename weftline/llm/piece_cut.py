@@ -69,17 +69,21 @@ def floor_char(raw: bytes, at: int) -> int:
     return at
 
 
+def overlap_bytes(max_tokens: int, overlap_tokens: int) -> int:
+    """Bytes two pieces share: as specified, but never above half of the limit, so that pieces advance."""
+    return min(4 * max(0, overlap_tokens), max((4 * max_tokens + 3) // 2 - 3, 0))
+
+
 def cut_points(raw: bytes, max_tokens: int, overlap_tokens: int) -> list[int]:
     """The chosen cuts of a text whose size is above ``max_tokens``."""
     import numpy as np
 
     cap = 4 * max_tokens + 3
-    overlap = min(4 * overlap_tokens, max(cap - 16, 0))
+    overlap = overlap_bytes(max_tokens, overlap_tokens)
     # 3 more bytes may be needed so that the overlap begins at a code point.
     step = cap - overlap - 3 if overlap else cap
-    if step < 32:
-        raise ValueError("max_tokens leaves no room beside the overlap")
-    marks, costs = boundaries(raw, max(16, step // 8))
+    # Positions closer than a code point's bytes to each other, where there is room for no more.
+    marks, costs = boundaries(raw, max(4, step // 8))
     at = np.array([0, *marks, len(raw)], dtype=np.int64)
     price = np.array([0.0, *costs, 0.0])
     least = max(1, -(-(len(raw) - overlap) // step))
@@ -93,6 +97,9 @@ def cut_points(raw: bytes, max_tokens: int, overlap_tokens: int) -> list[int]:
     for j in range(1, n):
         while at[j] - at[lo] > (cap if lo == 0 else step):
             lo += 1
+        if at[j] < overlap and j < n - 1:
+            # The next piece would begin before the text.
+            continue
         size = at[j] - at[lo:j]
         total = best[lo:j] + BALANCE * ((size - even) / even) ** 2
         k = int(total.argmin())
@@ -110,7 +117,7 @@ def pieces(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, i
     raw = text.encode("utf-8", "replace")
     if tokens_of_bytes(len(raw)) <= max_tokens:
         return [(0, 0, text)]
-    overlap = min(4 * overlap_tokens, max(4 * max_tokens - 13, 0))
+    overlap = overlap_bytes(max_tokens, overlap_tokens)
     cuts = cut_points(raw, max_tokens, overlap_tokens)
     out = []
     for a, b in zip([0, *cuts], [*cuts, len(raw)]):
@@ -120,16 +127,22 @@ def pieces(text: str, max_tokens: int, overlap_tokens: int) -> list[tuple[int, i
 
 
 def oversized(fragments: DataFrame, limits: DataFrame, profile: str | None = None) -> DataFrame:
-    """Delivered rows above a profile's limit, once per id and profile; the latest delivery counts."""
+    """Fragments above a profile's limit, once per id and profile; of several deliveries the latest text counts.
+
+    Deliveries without a text are none; of two with one time the larger text counts.  A profile named
+    twice counts with its larger limit, one without a limit above 0 is none, a null overlap is 0.
+    Texts that no profile can find too large are not shuffled, only their sizes.
+    """
     wanted = limits if profile is None else limits.filter(F.col("profile") == profile)
-    wanted = wanted.select("profile", "max_tokens", "overlap_tokens").filter("max_tokens > 0").dropDuplicates(["profile"])
+    wanted = wanted.filter("max_tokens > 0").groupBy("profile").agg(F.max(F.struct("max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap_tokens"))).alias("l")).select("profile", "l.*")
+    # One row of the least limit.
+    least = wanted.agg(F.min("max_tokens").alias("least"))
     size = F.greatest(F.floor(F.octet_length("content") / 4), F.lit(1))
+    rows = fragments.select("fragment_id", "start_line", "content", "ingested_at").filter(F.col("content").isNotNull()).withColumn("size", size)
+    rows = rows.join(F.broadcast(least)).withColumn("content", F.when(F.col("size") > F.col("least"), F.col("content")))
+    last = rows.groupBy("fragment_id").agg(F.max_by(F.struct("start_line", "content", "size"), F.struct("ingested_at", "size", "content", "start_line")).alias("row")).select("fragment_id", "row.*")
     # The table of limits is a handful of rows: a broadcast nested loop over one pass, behind the size check.
-    rows = fragments.select("fragment_id", "start_line", "content", "ingested_at").filter(F.col("content").isNotNull())
-    over = rows.join(small(wanted), size > F.col("max_tokens"))
-    return over.groupBy("fragment_id", "profile").agg(
-        F.max_by(F.struct("start_line", "content", "max_tokens", "overlap_tokens"), F.struct("ingested_at", "content")).alias("row")
-    ).select("fragment_id", "profile", "row.*")
+    return last.join(small(wanted), F.col("size") > F.col("max_tokens")).select("fragment_id", "profile", "start_line", "content", "max_tokens", "overlap_tokens")
 
 
 def cut_pieces(over: DataFrame) -> DataFrame:

@@ -11,13 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.runtime import parallelism
+
 #: Values of a buffer.  The rank error is about log2(n / K) / (2 K) of n: below 0.5 % up to n = 10**9.
 K = 2048
 #: Sketches that one task of a merge round combines.
 FAN_IN = 64
+#: Rows a task gathers before it adds them to its sketches.
+FLUSH_ROWS = 250_000
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -123,13 +127,13 @@ STATE = "n bigint, err double, low double, high double, tail int, levels array<i
 FIELDS = ["n", "err", "low", "high", "tail", "levels", "flat"]
 
 
-def sketch_partitions(long: DataFrame, keys: Sequence[str], value: str, k: int = K) -> DataFrame:
-    """One sketch per partition and key of a long table; adds ``salt``, the partition's number.
+def sketch_partitions(long: DataFrame, keys: Sequence[str], value: str, k: int = K, salts: int = FAN_IN) -> DataFrame:
+    """One sketch per partition and key of a long table; adds ``salt``, the partition's number modulo ``salts``.
 
     Nulls and NaN do not count.  Nothing is shuffled: this is the map side of the aggregation.
     """
     rows = long.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
-        *keys, F.col(value).cast("double").alias("__v"), F.spark_partition_id().alias("salt")
+        *keys, F.col(value).cast("double").alias("__v"), F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int").alias("salt")
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", salt int, " + STATE
 
@@ -154,7 +158,7 @@ def sketch_partitions(long: DataFrame, keys: Sequence[str], value: str, k: int =
             for key, part in batch.groupby(list(keys), dropna=False, sort=False)["__v"]:
                 waiting.setdefault(tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,))), []).append(part.to_numpy())
             size += len(batch)
-            if size >= 1_000_000:
+            if size >= FLUSH_ROWS:
                 flush()
                 size = 0
         flush()
@@ -167,8 +171,9 @@ def sketch_partitions(long: DataFrame, keys: Sequence[str], value: str, k: int =
 def merge_sketches(parts: DataFrame, keys: Sequence[str], rounds: int = 1, k: int = K) -> DataFrame:
     """One sketch per key from sketches with a ``salt``; ``rounds`` of at most FAN_IN each.
 
-    A key held by every partition is combined as a tree over its salts, so no task ever reads
-    more than FAN_IN sketches of it.
+    A key held by every partition is combined as a tree over its salts.  Salts are below
+    FAN_IN**rounds, so that one sketch of a key is left whatever the number of partitions; sketches
+    of one salt are read one after another and need no memory of their own.
     """
     names = list(keys)
 
@@ -202,9 +207,9 @@ def merge_sketches(parts: DataFrame, keys: Sequence[str], rounds: int = 1, k: in
     return parts.drop("salt")
 
 
-def rounds_for(parts: DataFrame) -> int:
-    """Merge rounds for as many salts as the plan has partitions."""
-    salts, rounds = max(1, parts._jdf.queryExecution().toRdd().getNumPartitions()), 1
+def merge_rounds(spark: SparkSession) -> int:
+    """Rounds after which FAN_IN**rounds salts, as many as a shuffle has partitions, are one."""
+    salts, rounds = parallelism(spark), 1
     while salts > FAN_IN:
         salts, rounds = -(-salts // FAN_IN), rounds + 1
     return rounds
@@ -248,8 +253,9 @@ def measures(rows: DataFrame) -> DataFrame:
 def day_sketches(results: DataFrame, k: int = K) -> DataFrame:
     """One sketch per benchmark, day and measure, to be kept and combined later."""
     keys = ["source_benchmark", "run_day", "measure"]
-    parts = sketch_partitions(measures(latest(results)), keys, "value", k)
-    return merge_sketches(parts, keys, rounds_for(parts), k)
+    rounds = merge_rounds(results.sparkSession)
+    parts = sketch_partitions(measures(latest(results)), keys, "value", k, FAN_IN**rounds)
+    return merge_sketches(parts, keys, rounds, k)
 
 
 def over_days(days: DataFrame, k: int = K) -> DataFrame:
