@@ -1,16 +1,22 @@
 """Credentials embedded in source and configuration text (problem 4).
 
-Quoted strings and long bare tokens are extracted with the name they are bound to.  A candidate's
-Shannon entropy over its own alphabet is set against a threshold for that alphabet and its length;
-hashes, identifiers, references, templates and placeholders are excluded.  The published token
-formats and private-key blocks need no entropy.  A binding to a credential's name lowers the
-threshold, so that human passwords are found where they are assigned.
+Every quoted string without white space, every joined literal and every bare token of a text is a
+candidate.  Its Shannon entropy over its own alphabet is set against a threshold for that alphabet
+and its length; hashes, identifiers, references, templates, placeholders, public keys and blobs of
+data are excluded.  What stands before a candidate moves the threshold: a credential's name, an
+option or a login lowers it to BOUND of it, so that human passwords are found where they are
+assigned, and a published token format to SHAPED; a candidate without any of these has to be as
+random as a generated key is.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from math import log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,14 +59,27 @@ PLACEHOLDER_WORDS = (
     r"example|changeme|change[_-]me|replace|your[_-]|placeholder|dummy|sample|redacted|masked|removed|hidden|todo|fixme|insert|"
     r"not[_-]?set|undefined|xxxx|\.\.\.|foobar|lorem|test[_-]?only|fake|secret[_-]?here|<[^>]*>|_here$"
 )
+# How files of a known format, certificates and hashes with their name begin in base64.
+FILE_BEGINS = r"^(?:iVBORw0KGgo|R0lGOD|/9j/|UklGR|UEsDB|JVBERi0|H4sI|AAABAA|MII[A-F]|d0[9o]G|T2dnU|sha\d+[-:]|md5[-:])"
 PRIVATE_KEY = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 
 
-#: Share of the threshold that a value bound to a credential's name has to reach.
-BOUND = 0.75
-#: Literal beginnings of the known shapes, and last words of what may name or announce a credential.
+#: Shares of the threshold for a value bound to a credential's name and for a published format.
+BOUND, SHAPED = 0.75, 0.6
+#: Least length of a candidate, and of one that nothing announces.
+LEAST, FREE_LEAST = 6, 20
+#: A candidate that nothing announces and is longer than this is a blob of data, no key.
+BLOB = 160
+#: A value longer than this is data whatever its name; keys in armour and published formats are found as such.
+DATA = 1024
+#: Literal beginnings of the published formats.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "k_prod_", "SG.", "AIza", "npm_", "pypi-", "dop_v1_", "hf_", "sk-", "eyJ")
-STEMS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "credential", "bearer", "basic", "dsn", "identified")
+#: Languages that join literals which only stand beside each other.
+BESIDE = re.compile(r"\.(?:py|pyi|c|h|cc|cpp|hpp|rb|m|d)$", re.I)
+#: Characters before a candidate in which its name is looked for.
+REACH = 200
+#: Verdicts kept by a worker.
+KNOWN_VALUES = 200_000
 #: Files in which an unquoted word is a value; elsewhere it is code, except in a comment.
 CONFIG_PATH = re.compile(r"(?:^|/)\.?[^/]*\.(?:env|ya?ml|properties|toml|ini|cfg|conf|md|rst|txt|sh|bash|tf|tfvars)(?:\.\w+)?$|(?:^|/)\.(?:env|netrc|pgpass|npmrc|pypirc)|Dockerfile", re.I)
 COMMENT = re.compile(r"\s*(?:#|//|--|\*|/\*|;)")
@@ -68,8 +87,6 @@ COMMENT = re.compile(r"\s*(?:#|//|--|\*|/\*|;)")
 
 def entropy(s: str) -> float:
     """Shannon entropy of a string in bits per character."""
-    from math import log2
-
     n = len(s)
     return -sum(c / n * log2(c / n) for c in map(s.count, set(s))) if n else 0.0
 
@@ -79,8 +96,6 @@ def threshold(n: int, alphabet: int) -> float:
 
     log2 of what can occur, less an allowance that shrinks with the length.
     """
-    from math import log2
-
     return log2(min(n, alphabet)) * (0.8 if n < 16 else 0.82 if n < 24 else 0.84)
 
 
@@ -92,6 +107,11 @@ def alphabet_of(s: str) -> int:
     return 80
 
 
+def randomness(s: str, alphabet: int | None = None) -> float:
+    """Entropy as a share of the threshold; 1 or more is what a generated key has."""
+    return entropy(s) / max(threshold(len(s), alphabet or alphabet_of(s)), 1e-9) if len(s) > 1 else 0.0
+
+
 class Scanner:
     """Compiled once per task."""
 
@@ -99,30 +119,34 @@ class Scanner:
         self.known_at = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{x})" for x in KNOWN_SHAPES) + ")")
         self.private = re.compile(PRIVATE_KEY)
         self.private_end = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-        # Literal searches over the whole text pick the lines that are worth work.
-        self.stem_tail = re.compile(
-            r"(?:word|wd|phrase|code|orization|s)?(?:[\"'`\])]{0,3}\s*(?:=(?!=)|:(?!:)|,\s*(?:[\"'`]|value)|\|\||\?\?|or\b|'|by\b)|\s+(?:for|of|to|on|is|was)\s|\s+[^\s=:(]*[0-9!#%*])"
-        )
-        self.url_tail = re.compile(r"://[^\s/:@]*:[^\s/@]+@")
-        self.user_tail = re.compile(r"(?:-u|--user)[\s=]")
-        self.pgpass_tail = re.compile(r":(?:\d{2,5}|\*):[\w.*-]+:[\w.*-]+:")
-        self.url = re.compile(r"[a-z][a-z0-9+.-]*://([^\s/:@\"'`<>{}$]*):([^\s/@\"'`]+)@[\w.\[\]{}$-]+", re.I)
-        # A name, what binds it, and a value: quoted, or bare to the end of the word.
-        name = r"(?P<name>[A-Za-z_][\w.\-]*)[\"'`\])]*"
-        kind = r"(?:\s*:\s*(?!//)[&A-Za-z_][\w<>&' ]*?(?=\s*=))?"
-        bind = r"(?P<bind>\s*(?::=|=>|=(?!=)|(?<!:):(?![:/])|,|\s\|\||\s\?\?|\sor\b)\s*(?:[A-Za-z_][\w.]*\s*(?:\|\||\?\?|\bor\b|:-)\s*)?(?:[rbfu](?=[\"'`]))?)"
-        value = r"(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<t>[^`\n]*)`|(?P<bare>[^\s\"'`,;(){}\[\]<>]+))"
-        self.pair = re.compile(name + kind + bind + value)
-        self.flag = re.compile(r"(?<!\S)-{1,2}(?P<name>[A-Za-z][\w-]*)(?:=|\s+)(?:\"(?P<d>[^\"\n]*)\"|'(?P<s>[^'\n]*)'|(?P<bare>[^\s\"'`;|&)]+))")
-        self.scheme = re.compile(r"\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.~-]{12,})", re.I)
-        self.spoken = re.compile(r"\b(?:pw|pwd|password|passwd|passphrase|secret|token|api key|apikey|credentials?)\b(?:\s+(?:for|of|to|on)\s+(?:the\s+)?[\w.@/-]+)?\s*(?:\bis\b|\bwas\b|->|=>|=|:)\s+[\"'`]?(?P<v>[^\s\"'`,;(){}\[\]<>]{6,})", re.I)
-        self.pgpass = re.compile(r"(?<![\w/.-])[\w.*-]+:(?:\d{2,5}|\*):[\w.*-]+:[\w.*-]+:(?P<v>[^\s:\"'`]{6,})")
-        self.netrc = re.compile(r"\b(?:login|user)\s+\S+\s+password\s+(?P<v>\S{6,})")
-        self.user_option = re.compile(r"(?<!\S)(?:-u|--user)[\s=]+[\"']?(?P<u>[\w.-]+):[\"']?(?P<v>[^\s\"':$]{6,})")
-        self.sql = re.compile(r"\b(?:password|identified\s+by)\s+(?:=\s*)?'(?P<v>[^'\n]{6,})'", re.I)
-        self.named_value = re.compile(r"\bname[\"']?\s*[:=]\s*[\"']?(?P<name>[\w.-]+)[\"']?\s*,\s*[\"']?value[\"']?\s*[:=]\s*(?:\"(?P<d>[^\"\n]*)\"|'(?P<s>[^'\n]*)'|(?P<bare>[^\s\"'`,;{}]+))")
-        self.holds = re.compile(r"(?:^|[_.\-]|(?<=[a-z0-9])(?=[A-Z]))" + SECRET_NAME + "$", re.I)
-        self.about = re.compile(SECRET_NAME + r"s?[_.\-]*(?:" + ABOUT_NAME + r")$", re.I)
+        self.armour = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----[\s\S]*?-----END \1-----")
+        # Candidates: quoted strings without white space, literals joined to one another, bare tokens.
+        self.quoted = re.compile(r"\"((?:[^\"\\\s]|\\.){6,})\"|'((?:[^'\\\s]|\\.){6,})'|`([^`\s]{6,})`")
+        self.token = re.compile(r"[^\s\"'`,;:=(){}\[\]<>|\\]{6,}(?:={1,2}(?![^\s\"'`,;)}\]<&\\]))?")
+        literal = r"(?:\"[^\"\\\n]*\"|'[^'\\\n]*')"
+        self.joined = re.compile(rf"{literal}(?:\s*\+\s*{literal})+")
+        self.beside = re.compile(rf"{literal}(?:\s*\+\s*{literal}|[ \t]*\\?\n?[ \t]*(?<![\"']){literal})+")
+        self.literal = re.compile(literal)
+        # What may stand before a value, up to its opening quote.
+        name = r"(?<![\w.\-])[.\-]?(?P<name>[A-Za-z_][\w.\-]*)[\"'`\])]*"
+        kind = r"(?:[ \t]*:[ \t]*(?!//)[&A-Za-z_][\w<>&' ]*?(?=[ \t]*=))?"
+        other = r"(?:[A-Za-z_][\w.]*\s*(?:\|\||\?\?|\bor\b|:-)\s*)?"
+        self.assign = re.compile(name + kind + r"\s*(?P<bind>:=|=>|=(?!=)|(?<!:):(?![:/])|,|\|\||\?\?|\bor\b)\s*" + other + r"(?:[rbfu](?=[\"'`]))?(?P<quote>[\"'`]*)$")
+        self.flag = re.compile(r"(?<!\S)-{1,2}(?P<name>[A-Za-z][\w-]*)(?:=|\s+)[\"']?$")
+        self.scheme = re.compile(r"\b(?:bearer|basic|token)\s+$", re.I)
+        self.spoken = re.compile(r"\b(?:pw|pwd|pass|password|passwd|passphrase|secret|token|api key|apikey|credentials?)\b(?:\s+(?:for|of|to|on)\s+(?:the\s+)?[\w.@/-]+)?\s*(?:\bis\b|\bwas\b|->|=>|=|:)\s+[\"'`]?$", re.I)
+        self.netrc = re.compile(r"\b(?:login|user)\s+\S+\s+password\s+$")
+        self.user_option = re.compile(r"(?<!\S)(?:-u|--user)[\s=]+[\"']?[\w.-]+:[\"']?$")
+        self.sql = re.compile(r"\b(?:password|identified\s+by)\s+(?:=\s*)?'$", re.I)
+        self.named_value = re.compile(r"\bname[\"']?\s*[:=]\s*[\"']?(?P<name>[\w.-]+)[\"']?\s*,\s*[\"']?value[\"']?\s*[:=]\s*[\"']?$")
+        self.element = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*)>$")
+        self.pgpass = re.compile(r"(?<![\w/.-])[\w.*-]+:(?:\d{2,5}|\*):[\w.*-]+:[\w.*-]+:$")
+        self.hashed = re.compile(r"(?:sha\d*|md5|integrity|checksum|digest|hash|etag|fingerprint|revision|commit|uuid|guid|nonce|base64,)[\"'`\])]*\s*[:=,-]?\s*[\"'`]?$", re.I)
+        self.url = re.compile(r"(?<=[a-zA-Z0-9])://([^\s/:@\"'`<>{}$]*):([^\s/@\"'`]+)@[\w.\[\]{}$-]+")
+        # Words of which what announces a credential has at least one.
+        self.stem = re.compile(r"pass|pwd|pw\b|pw_|secret|token|key|auth|cred|bearer|basic|dsn|identified|login|user|-u\b|webhook|:(?:\d{2,5}|\*):")
+        self.holds = re.compile(r"(?:^|[_.])" + SECRET_NAME + "$", re.I)
+        self.about = re.compile(SECRET_NAME + r"s?[_.]*(?:" + ABOUT_NAME + r")$", re.I)
         self.words = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
         self.bad = re.compile(PLACEHOLDER_WORDS, re.I)
         self.reference = re.compile(
@@ -131,43 +155,17 @@ class Scanner:
             re.I,
         )
         self.uuid = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
-        self.public = re.compile(PUBLIC_KEY)
+        self.public = re.compile(PUBLIC_KEY + r"|^AAAA[BCE]3Nza")
         self.identifier = re.compile(r"^[A-Za-z_][A-Za-z]*(?:[_.\-/:][A-Za-z]+)*\d{0,2}$")
         self.hexes = re.compile(r"^(?:sha\d+[-:])?[0-9a-fA-F]+$")
-
-    def lines(self, text: str) -> list[tuple[int, int]]:
-        """Starts and ends of the lines that may hold a credential."""
-        low = text.lower()
-        marks: list[int] = []
-        for stems, tail in ((STEMS, self.stem_tail), (("://",), self.url_tail), (("-u", "--user"), self.user_tail), ((":",) if "pgpass" in low or ":5432:" in low else (), self.pgpass_tail)):
-            for stem in stems:
-                at = low.find(stem)
-                while at >= 0:
-                    if tail.match(low, at + len(stem) if tail is self.stem_tail else at):
-                        marks.append(at)
-                        at = low.find("\n", at)
-                        if at < 0:
-                            break
-                    at = low.find(stem, at + 1)
-        for prefix in PREFIXES:
-            at = text.find(prefix)
-            while at >= 0:
-                marks.append(at)
-                at = text.find("\n", at)
-                at = text.find(prefix, at) if at >= 0 else -1
-        spans, last = [], -1
-        for at in sorted(marks):
-            if at < last:
-                continue
-            start = text.rfind("\n", 0, at) + 1
-            last = text.find("\n", at)
-            last = len(text) if last < 0 else last
-            spans.append((start, last))
-        return spans
+        self.parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+        self.begins = re.compile(FILE_BEGINS)
+        self.digit = re.compile(r"[0-9]")
+        self.known: dict[str, tuple[bool, bool]] = {}
 
     def secret_name(self, name: str) -> bool:
         """Whether a name in any case style ends in a word for a credential."""
-        flat = self.words.sub("_", name).lower().strip("_.-")
+        flat = self.words.sub("_", name).lower().replace("-", "_").strip("_.")
         if self.about.search(flat):
             return False
         return bool(self.holds.search(flat))
@@ -180,32 +178,51 @@ class Scanner:
         core = bare.replace("-", "").replace("_", "")
         return len(set(core)) <= 3 or bare.count("*") > len(bare) // 2 or any(c in bare for c in "<>{}") and not any(c.isdigit() for c in bare)
 
+    def excluded(self, v: str) -> bool:
+        """What is no credential whatever its entropy and its name."""
+        return len(v) < LEAST or v.isdigit() or "://" in v or "(" in v or bool(self.uuid.match(v) or self.public.search(v)) or self.placeholder(v)
+
     def bound(self, v: str) -> bool:
         """Whether a value bound to a credential's name is one."""
-        v = v.strip()
-        if len(v) < 6 or len(v) > 4096 or self.placeholder(v) or self.uuid.match(v) or " " in v or "(" in v or self.public.search(v):
-            return False
-        if v.isdigit() or "://" in v:
-            return False
         if self.hexes.match(v):
-            return len(v) >= 16 and entropy(v) >= BOUND * threshold(len(v), 16)
+            return len(v) >= 16 and randomness(v, 16) >= BOUND and not self.excluded(v)
         if self.identifier.match(v):
             # Words joined by usual signs; a run of letters in mixed case may still be random.
-            return v.isalpha() and len(v) >= 12 and v[1:] != v[1:].lower() and v[1:] != v[1:].upper() and entropy(v) >= threshold(len(v), 52) and self.mixed(v)
-        classes = sum((any(c.islower() for c in v), any(c.isupper() for c in v), any(c.isdigit() for c in v), any(not c.isalnum() for c in v)))
+            return v.isalpha() and len(v) >= 12 and v[1:] != v[1:].lower() and v[1:] != v[1:].upper() and self.mixed(v) and randomness(v, 52) >= 1 and not self.excluded(v)
         # A password put together by hand has little entropy, but letters and something else in it.
-        return classes >= 2 and any(c.isalpha() for c in v) and entropy(v) >= BOUND * threshold(len(v), alphabet_of(v))
+        return len(v) >= LEAST and self.classes(v) >= 2 and randomness(v) >= BOUND and not self.excluded(v)
+
+    def classes(self, v: str) -> int:
+        """Kinds of characters of a value that has letters: small, large, digits, others; 0 without letters."""
+        small, large = v != v.upper(), v != v.lower()
+        return small + large + bool(self.digit.search(v)) + (not v.isalnum()) if small or large else 0
+
+    def free(self, v: str) -> bool:
+        """Whether a value that nothing announces is as random as a generated key, and no hash, identifier or blob."""
+        if not FREE_LEAST <= len(v) <= BLOB or not self.digit.search(v) or not v.isascii():
+            return False
+        # Words and numbers, however joined, make few parts of one or two characters.
+        if sum(len(x) for x in self.parts.findall(v) if len(x) <= 2) < 0.4 * len(v) or sum(not c.isalnum() for c in v) > len(v) // 5:
+            return False
+        return randomness(v) >= 1 and v.lower() != v.upper() and not (self.hexes.match(v) or self.identifier.match(v) or self.begins.match(v) or self.excluded(v))
 
     def mixed(self, v: str) -> bool:
         """Letters that change case as no camel-case name does."""
         parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", v)
         return sum(len(p) <= 2 for p in parts) * 3 >= len(parts)
 
+    def verdict(self, v: str) -> tuple[bool, bool]:
+        """Whether a value is a credential where something announces it, and where nothing does."""
+        held = self.known.get(v)
+        if held is None:
+            if len(self.known) >= KNOWN_VALUES:
+                self.known.clear()
+            plain = self.identifier.match(v) and not (v.isalpha() and len(v) >= 12)
+            held = self.known[v] = (False, False) if plain else (self.bound(v.rstrip(".")) or self.basic(v), self.free(v))
+        return held
+
     def basic(self, v: str) -> bool:
         """Base64 of ``user:password``."""
-        import base64
-        import binascii
-
         if len(v) < 12 or len(v) % 4:
             return False
         try:
@@ -216,80 +233,121 @@ class Scanner:
         return bool(colon) and len(user) > 1 and len(password) >= 6 and all(32 < c < 127 for c in plain) and not self.placeholder(password.decode())
 
     def url_password(self, v: str) -> bool:
-        return len(v) >= 4 and not self.placeholder(v) and not v.lower() in ("password", "pass", "secret", "pwd", "passwd", "user")
-
-    def line(self, line: str, words: bool) -> list[tuple[int, int]]:
-        """Spans of credentials in a line; ``words`` if an unquoted word may be a value in this file."""
-        spans: list[tuple[int, int]] = []
-        for m in self.known_at.finditer(line):
-            if not self.bad.search(m.group()) and len(set(m.group()[8:])) > 5:
-                spans.append(m.span())
-        for m in self.url.finditer(line):
-            if self.url_password(m.group(2)):
-                spans.append(m.span(2))
-        for m in self.scheme.finditer(line):
-            v = m.group("v")
-            if (self.basic(v) or (not self.identifier.match(v) and self.bound(v))) and any(c.isdigit() for c in v):
-                spans.append(m.span("v"))
-        for pattern in (self.spoken, self.pgpass, self.netrc, self.user_option, self.sql):
-            for m in pattern.finditer(line):
-                if self.bound(m.group("v").rstrip(".")) and any(not c.isalpha() for c in m.group("v")):
-                    spans.append(m.span("v"))
-        for pattern in (self.pair, self.flag, self.named_value):
-            at = 0
-            while m := pattern.search(line, at):
-                at = max(m.end("name"), m.start() + 1)
-                if not self.secret_name(m.group("name")):
-                    continue
-                group = next(g for g in ("d", "s", "t", "bare") if g in m.groupdict() and m.group(g) is not None)
-                v = m.group(group)
-                if pattern is self.pair and m.group("bind").strip() == "," and group == "bare":
-                    continue
-                # A string broken into parts that are joined again.
-                tail = line[m.end() :]
-                more = "".join(a or b for a, b in re.findall(r"^(?:\s*\+?\s*(?:\"([^\"\\]*)\"|'([^'\\]*)'))+", tail)) if group in ("d", "s") and tail.lstrip()[:1] in ("+", '"', "'") else ""
-                if group == "bare" and not (words or pattern is self.flag or COMMENT.match(line)):
-                    continue
-                if group == "bare" and not self.bare(v, line, m):
-                    continue
-                if v.lower().startswith(("bearer ", "basic ", "token ")):
-                    continue
-                if self.bound(v + more) or self.basic(v):
-                    spans.append(m.span(group))
-        return spans
-
-    def bare(self, v: str, line: str, m: object) -> bool:
+        return len(v) >= 4 and not self.placeholder(v) and v.lower() not in ("password", "pass", "secret", "pwd", "passwd", "user") and randomness(v) >= BOUND
+
+    def announced(self, text: str, start: int, end: int, words: bool, stemmed: bool = True) -> bool | None:
+        """Whether a credential's name, an option or a login stands before a value; not so if no such word is ``stemmed``.
+
+        Null if what stands there says that it is something else: a hash's name, or code and not a value.
+        """
+        left = text[max(0, start - REACH) : start]
+        line = left[left.rfind("\n") + 1 :]
+        if not stemmed:
+            return None if self.hashed.search(line[-40:]) else False
+        if self.element.search(line):
+            return self.secret_name(self.element.search(line)["name"]) and text.startswith("</", end)
+        if self.scheme.search(line):
+            return any(c.isdigit() for c in text[start:end])
+        if any(x.search(line) for x in (self.spoken, self.netrc, self.sql, self.pgpass, self.user_option)):
+            return True
+        for pattern in (self.flag, self.named_value):
+            if (m := pattern.search(line)) and self.secret_name(m["name"]):
+                return True
+        m = self.assign.search(left)
+        if m and self.secret_name(m["name"]) and not text[start:end].lower().startswith(("bearer ", "basic ", "token ")):
+            inside = m["quote"] or any(line.count(q) % 2 for q in "\"'`")
+            if m["bind"] == "," and not m["quote"]:
+                return False
+            if not inside and (not (words or COMMENT.match(line)) or not self.bare(text, start, end)):
+                return None
+            return True
+        return None if self.hashed.search(line[-40:]) else False
+
+    def bare(self, text: str, start: int, end: int) -> bool:
         """An unquoted value is code in a programming language unless it cannot be a name or a call."""
-        after = line[m.end() : m.end() + 1]
-        if re.search(r"=[A-Za-z0-9]", v):
-            return False
-        if after in ("(", "[", "{", "<") or v.endswith((".", "::", "?")) or "::" in v or "->" in v:
+        v, after = text[start:end], text[end : end + 1]
+        if after in ("(", "[", "{", "<") or text.startswith("::", end) or v.endswith((".", "?")) or "->" in v:
             return False
         if self.identifier.match(v) or v.replace(".", "").replace("_", "").isalpha():
             return v.isalpha() and len(v) >= 12 and self.mixed(v)
         return not (v[0].isdigit() and v.replace(".", "").replace("_", "").isdigit())
 
-    def spans(self, text: str, path: str | None = None) -> list[tuple[int, int]]:
-        """Spans of credentials in a text, ascending, not overlapping."""
-        found: list[tuple[int, int]] = []
-        taken = 0
+    def blob(self, text: str, start: int, end: int) -> bool:
+        """Whether the line before or after holds as long a run of the same kind: data written over several lines."""
+        first, last = text.rfind("\n", 0, start), text.find("\n", end)
+        before = text[text.rfind("\n", 0, max(first, 0)) + 1 : first] if first > 0 else ""
+        after = text[last + 1 : (text.find("\n", last + 1) + 1 or len(text) + 1) - 1] if last >= 0 else ""
+        least = 0.7 * (end - start)
+        return any(len(x) >= least and not self.identifier.match(x) and randomness(x) >= 1 for line in (before, after) for x in self.token.findall(line))
+
+    def credentials(self, text: str, path: str | None = None) -> list[list[tuple[int, int]]]:
+        """The spans of each credential, ascending, without overlaps; a joined literal has a span for each part."""
+        found: list[list[tuple[int, int]]] = []
         for m in self.private.finditer(text):
             end = self.private_end.search(text, m.end())
-            # Without an end line the key runs to the end of its block of base64.
-            found.append((m.start(), end.end() if end and end.start() - m.end() < 20000 else min(len(text), self.key_end(text, m.end()))))
+            # Without an end line, or with another key before it, the key runs to the end of its block of base64.
+            again = self.private.search(text, m.end())
+            found.append([(m.start(), end.end() if end and not (again and again.start() < end.start()) else min(len(text), self.key_end(text, m.end())))])
+        other = [m.span() for m in self.armour.finditer(text) if not self.private.match(text, m.start())] if "-----BEGIN" in text else []
         words = not path or bool(CONFIG_PATH.search(path))
-        for start, end in self.lines(text):
-            found += [(a + start, b + start) for a, b in self.line(text[start:end], words)]
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(found):
+        for m in self.known_at.finditer(text) if any(x in text for x in PREFIXES) else ():
+            v = m.group()
+            if not self.bad.search(v) and len(set(v[8:])) > 5 and randomness(v) >= SHAPED:
+                found.append([m.span()])
+        if "://" in text:
+            found += [[m.span(2)] for m in self.url.finditer(text) if self.url_password(m.group(2))]
+
+        parts: set[int] = set()
+        stems: list[int] = []
+
+        def judge(v: str, start: int, end: int) -> bool:
+            told, untold = self.verdict(v)
+            # A part of a joined literal is judged with the whole.
+            if start in parts or not told and not untold:
+                return False
+            if not stems:
+                stems.extend([-1, *(m.start() for m in self.stem.finditer(text.lower()))])
+            near = stems[bisect_left(stems, start) - 1] >= max(0, start - REACH)
+            say = self.announced(text, start, end, words, near)
+            return bool(say and told and len(v) <= DATA) or (say is False and untold and not self.blob(text, start, end))
+
+        if "' " in text or '" ' in text or '"\n' in text or "'\n" in text or '"+' in text or "'+" in text:
+            for m in (self.beside if path and BESIDE.search(path) else self.joined).finditer(text):
+                spans = [(x.start() + 1, x.end() - 1) for x in self.literal.finditer(text, *m.span())]
+                whole = "".join(text[a:b] for a, b in spans)
+                if " " not in whole:
+                    if len(whole) <= DATA and judge(whole, *spans[0]):
+                        found.append([x for x in spans if x[1] > x[0]])
+                    parts.update(a for a, _ in spans)
+        for pattern in (self.quoted, self.token):
+            groups = pattern.groups
+            # Each distinct value is judged once; only where one may be a credential are its places looked up.
+            values = set(pattern.findall(text)) if not groups else {x for m in set(pattern.findall(text)) for x in m if x}
+            likely = {v for v in values if any(self.verdict(v))}
+            if likely:
+                for m in pattern.finditer(text):
+                    v = m.group(m.lastindex) if groups else m.group()
+                    if v in likely and judge(v, *m.span(m.lastindex if groups else 0)):
+                        found.append([m.span(m.lastindex if groups else 0)])
+        out: list[list[tuple[int, int]]] = []
+        taken = 0
+        for spans in sorted(found, key=lambda x: (x[0][0], -x[-1][1])):
+            a, b = spans[0][0], spans[-1][1]
+            if any(x <= a and b <= y for x, y in other):
+                continue
             if a >= taken:
-                out.append((a, b))
+                out.append(spans)
                 taken = b
             elif b > taken:
-                out[-1] = (out[-1][0], b)
+                # One that begins inside another carries it on.
+                out[-1] = [*out[-1][:-1], (out[-1][-1][0], b)] if len(spans) == 1 and len(out[-1]) == 1 else [*out[-1], *[(max(x, taken), y) for x, y in spans if y > taken]]
                 taken = b
         return out
 
+    def spans(self, text: str, path: str | None = None) -> list[tuple[int, int]]:
+        """All spans to mask, ascending."""
+        return [x for spans in self.credentials(text, path) for x in spans]
+
     @staticmethod
     def key_end(text: str, at: int) -> int:
         while at < len(text) and (text[at].isalnum() or text[at] in "+/=\\\n\r \t\"',:-"):
@@ -313,7 +371,7 @@ def scan_secrets(fragments: DataFrame) -> DataFrame:
             for fid, first, path, text in zip(batch["fragment_id"], batch["start_line"], batch["path"], batch["content"]):
                 if text:
                     base = 1 if first is None or first != first else int(first)
-                    out += [(fid, base + text.count("\n", 0, a)) for a, _ in scanner.spans(text, path)]
+                    out += [(fid, base + text.count("\n", 0, spans[0][0])) for spans in scanner.credentials(text, path)]
             yield pd.DataFrame(out, columns=["fragment_id", "line_no"])
 
     rows = spread(fragments.select("fragment_id", "start_line", "path", "content"))
@@ -334,10 +392,10 @@ def redact(fragments: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for fid, path, text in zip(batch["fragment_id"], batch["path"], batch["content"]):
-                spans = scanner.spans(text, path) if text else []
-                for a, b in reversed(spans):
+                found = scanner.credentials(text, path) if text else []
+                for a, b in reversed([x for spans in found for x in spans]):
                     text = text[:a] + masked(text[a:b]) + text[b:]
-                out.append((fid, text, len(spans)))
+                out.append((fid, text, len(found)))
             yield pd.DataFrame(out, columns=["fragment_id", "content", "n_redacted"])
 
     return spread(fragments.select("fragment_id", "path", "content")).mapInPandas(run, "fragment_id bigint, content string, n_redacted int")
