@@ -430,6 +430,47 @@ def test_mojibake_round_trips(spark):
     assert [(r["doc_id"], r["restored"]) for r in mojibake.repaired(docs.unionByName(lossy), model).filter("doc_id = 999").collect()] == [(999, None)]
 
 
+def test_chain_is_latent(spark):
+    """Of two chains with equal evidence the one that is common in the record's source is taken."""
+    rows = [(i, "a", "x>y", 12.0) for i in range(40)] + [(i, "b", "x>z", 12.0) for i in range(100, 140)]
+    rows += [(d, s, c, 3.0) for d, s in ((500, "a"), (501, "b")) for c in ("x>y", "x>z")]
+    evidence = spark.createDataFrame(rows, "doc_id long, source string, chain string, ratio double")
+    sizes = spark.createDataFrame([("a", 100), ("b", 100)], "source string, total long")
+    weight = {(r["source"], r["chain"]): r["weight"] for r in mojibake.chain_priors(evidence, sizes).collect()}
+    assert weight["a", "x>y"] > weight["a", "x>z"] + 2 and weight["b", "x>z"] > weight["b", "x>y"] + 2
+    assert abs(weight["a", "x>y"] - weight["b", "x>z"]) < 0.1 and mojibake.chain_priors(evidence.limit(0), sizes).count() == 0
+
+
+CORPUS = "/root/testdata/sf0.001/documents.parquet"
+#: Garbled copies that are restored exactly, at least, of those that are found.
+RESTORED = 0.9
+
+
+@pytest.mark.skipif(not os.path.exists(CORPUS), reason="no test data")
+def test_restored_texts_equal_the_originals(spark):
+    """Sound texts of the corpus garbled by known chains come back as they were."""
+    rng = random.Random(2)
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(CORPUS).collect() if r["text"]]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    model = mojibake.shared_model(table)
+    bad = {r["doc_id"] for r in mojibake.garbled(table, model).collect()}
+    chains = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"), ("utf-8", "cp437"), ("cp1251", "latin-1"), ("koi8_r", "cp1251")]
+    want, rows = {}, []
+    for i, (doc, text, source) in enumerate(d for d in docs if d[0] not in bad and sum(ord(c) > 127 for c in d[1]) > 8):
+        for true, read in rng.sample(chains, len(chains)):
+            try:
+                wrong = text.encode(true).decode(read)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if wrong != text:
+                want[10**6 + i] = text
+                rows.append((10**6 + i, wrong, source))
+                break
+    got = {r["doc_id"]: r["restored"] for r in mojibake.repaired(table.unionByName(spark.createDataFrame(rows, table.schema)), model).collect() if r["doc_id"] >= 10**6}
+    same = sum(got.get(k) == v for k, v in want.items())
+    assert len(want) >= 10 and len(got) >= 0.9 * len(want) and same >= RESTORED * len(got)
+
+
 PASSAGES = {
     ("ru", "cp1251", "latin-1"): "Мы проверили очередь сообщений после обновления и нашли ошибку в журнале, которая повторяется каждую ночь при запуске большой задачи на сервере.",
     ("ru", "koi8_r", "cp1251"): "Мы проверили очередь сообщений после обновления и нашли ошибку в журнале, которая повторяется каждую ночь при запуске большой задачи на сервере.",

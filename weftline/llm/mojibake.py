@@ -6,8 +6,8 @@ from a character model counted over the whole corpus.  Expectation-maximization
 each chain occurs in each source, so that weak evidence counts more where a chain is common, and a
 record is called and restored by its posterior.
 
-The E-step needs only how many records of a source have which (chain, rounded ratio); this histogram
-is all that is gathered, so the size of an EM task does not grow with the corpus.
+The E-step needs only how many records of a source have which rounded ratios of their chains; this
+histogram is all that is gathered, so the size of an EM task does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from weftline.runtime import cut, small, spread
 POSTERIOR, ROUNDS, PRIOR = 0.5, 25, 0.01
 #: Ratios are rounded to 1 / STEP and clipped to +-LIMIT nats.
 STEP, LIMIT = 2, 400.0
+#: The EM sees a record's greatest ratio as at most this many nats: such a record is certain anyway.
+PATTERN = 30.0
 
 # Chains of a UTF-8 text read as something else, and of one legacy encoding read as another.
 UTF8_READ_AS = ("latin", "cp1251", "cp1250", "koi8_r", "cp437", "cp850", "mac_roman", "cp866")
@@ -289,7 +291,7 @@ class Detector:
                             add(f"{codec}>latin", 0.5 * gain - 0.3 * sum(self.gains(w)[0] for w in held) - least)
         if max((e for c, e in out.items() if c.startswith("utf_8")), default=0) >= 2 * SEQUENCE:
             # Valid sequences explain a text better than a legacy chain that makes other letters of them.
-            out = {c: e for c, e in out.items() if tuple(c.split(">")) not in self.single}
+            out = {c: e for c, e in out.items() if tuple(c.split(">")) not in self.single and c.split(">")[0] not in WIDE}
         return {c: e for c, e in out.items() if e > 0}
 
     def wide_fixes(self, line: str) -> list[tuple[str, str]]:
@@ -388,39 +390,51 @@ def chain_evidence(docs: DataFrame, model: object) -> DataFrame:
 def chain_priors(evidence: DataFrame, sizes: DataFrame) -> DataFrame:
     """``source, chain, weight``: log odds of each chain against sound text in a source, by EM.
 
-    The strongest chain of a record carries it; the records of a source without any are sound.
+    The chain of a record is latent: the E-step spreads a record over all chains it has evidence for,
+    and over being sound, by their shares in its source and its ratios; the M-step sums these parts.
+    Records of one source with the same ratios are one row with a count; a record's ratios are
+    shifted so that the greatest is at most PATTERN nats, and rounded, so the size of an EM task does
+    not grow with the corpus.
     """
-    best = evidence.groupBy("doc_id", "source").agg(F.max_by(F.struct("chain", "ratio"), F.struct("ratio", "chain")).alias("b"))
-    counts = best.groupBy("source", F.col("b.chain").alias("chain"), F.col("b.ratio").alias("ratio")).agg(F.count("*").alias("n"))
+    above = F.greatest(F.lit(0.0), F.array_max(F.transform("p", lambda x: x["ratio"])) - PATTERN)
+    shifted = F.transform("p", lambda x: F.struct(x["chain"].alias("chain"), F.greatest(F.round(x["ratio"] - F.col("above")), F.lit(-PATTERN)).cast("int").alias("r")))
+    listed = evidence.groupBy("doc_id", "source").agg(F.sort_array(F.collect_list(F.struct("chain", "ratio"))).alias("p")).withColumn("above", above)
+    patterns = listed.select("source", shifted.alias("p")).groupBy("source", "p").agg(F.count("*").alias("n"))
 
     def em(pdf: object) -> object:
         import numpy as np
         import pandas as pd
 
         total = float(pdf["total"].iloc[0])
-        chains = sorted(pdf["chain"].unique())
-        at = pdf["chain"].map({c: i for i, c in enumerate(chains)}).to_numpy()
-        ratio, n = pdf["ratio"].to_numpy(), pdf["n"].to_numpy(dtype=float)
-        share = np.full(len(chains), PRIOR)
+        chains = sorted({x["chain"] for p in pdf["p"] for x in p})
+        number = {c: i for i, c in enumerate(chains)}
+        gain = np.zeros((len(pdf), len(chains)))
+        for i, p in enumerate(pdf["p"]):
+            for x in p:
+                gain[i, number[x["chain"]]] = np.exp(x["r"])
+        n = pdf["n"].to_numpy(dtype=float)
+        share = np.full(len(chains), PRIOR / len(chains))
         for _ in range(ROUNDS):
-            odds = share[at] / max(1e-9, 1 - share.sum()) * np.exp(ratio)
-            post = odds / (1 + odds)
-            share = (np.bincount(at, post * n, len(chains)) + PRIOR) / (total + 1)
+            odds = gain * (share / max(1e-9, 1 - share.sum()))
+            post = odds / (1 + odds.sum(axis=1, keepdims=True))
+            share = (n @ post + PRIOR) / (total + 1)
             share *= min(1.0, 0.9 / share.sum())
         return pd.DataFrame({"source": pdf["source"].iloc[0], "chain": chains, "weight": np.log(share / (1 - share.sum()))})
 
-    return counts.join(sizes, "source").groupBy("source").applyInPandas(em, "source string, chain string, weight double")
+    return patterns.join(sizes, "source").groupBy("source").applyInPandas(em, "source string, chain string, weight double")
 
 
 def garbled(docs: DataFrame, model: object) -> DataFrame:
-    """``doc_id, chain, posterior`` of the records at POSTERIOR or above."""
+    """``doc_id, chain, posterior`` of the records at POSTERIOR or above.
+
+    The posterior is that of any chain, the chain the likeliest one (ties: the greater name).
+    """
     evidence = cut(chain_evidence(docs, model))
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("total"))
-    called = evidence.join(small(chain_priors(evidence, sizes)), ["source", "chain"], "left").withColumn(
-        "odds", F.coalesce("weight", F.lit(math.log(PRIOR))) + F.col("ratio")
-    )
-    best = called.groupBy("doc_id").agg(F.max_by(F.struct("chain", "odds"), F.struct("odds", "chain")).alias("b"))
-    return best.select("doc_id", "b.chain", (1 / (1 + F.exp(-F.col("b.odds")))).alias("posterior")).filter(F.col("posterior") >= POSTERIOR)
+    odds = F.coalesce("weight", F.lit(math.log(PRIOR))) + F.col("ratio")
+    called = evidence.join(small(chain_priors(evidence, sizes)), ["source", "chain"], "left").withColumn("odds", odds)
+    best = called.groupBy("doc_id").agg(F.max_by("chain", F.struct("odds", "chain")).alias("chain"), F.sum(F.exp(F.least("odds", F.lit(50.0)))).alias("all"))
+    return best.select("doc_id", "chain", (F.col("all") / (1 + F.col("all"))).alias("posterior")).filter(F.col("posterior") >= POSTERIOR)
 
 
 def repaired(docs: DataFrame, model: object) -> DataFrame:
