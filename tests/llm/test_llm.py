@@ -47,6 +47,18 @@ def test_source_filter_cases(spark):
     assert source_filter.not_hand_written(fragments(spark, rows).limit(0)).count() == 0
 
 
+def test_layout_thresholds_differ_by_language(spark):
+    """One text, hand-written in one language and not in another; a banner below a long licence is seen."""
+    line = "row_{0} = load_table({0}, {1})  # keeps the order\n"
+    numbers = "".join(line.format(i, i + 1) for i in range(60))
+    long = "x = compute_first_part(alpha_value, beta_value, gamma_value) and compute_second_part(delta_value, eps_value) or zeta_v\n" * 40
+    head = "// a line of the licence\n" * 40
+    rows = [("a/b", f"src/{n}.{e}", 1, t) for n, t in (("numbers", numbers), ("long", long)) for e in ("rs", "sql", "md", "unknown")]
+    rows += [("a/b", "src/head.go", 1, head + "// Code generated by tool. DO NOT EDIT.\npackage x\n"), ("a/b", "src/late.go", 1, "package x\n" * 40 + "// Code generated by tool. DO NOT EDIT.\n")]
+    got = {(r["path"], r["kind"], r["shown_by"]) for r in source_filter.not_hand_written(fragments(spark, rows)).collect()}
+    assert got == {("src/numbers.rs", "generated", "layout"), ("src/numbers.sql", "generated", "layout"), ("src/head.go", "generated", "banner")}
+
+
 # 2 --------------------------------------------------------------------------------------------
 
 
