@@ -126,7 +126,7 @@ def test_overlaps_against_brute_force(spark):
                 same_commit = a[3] == b[3] and a[3] and a[3] != "HEAD" and set(a[3]) != {"0"}
                 if same_commit or (x and y and 2 * split_overlap.common_length(x, y) / (len(x) + len(y)) >= split_overlap.NEAR):
                     want.add(tuple(sorted((a[0], b[0]))))
-    assert got <= want and len(want - got) <= 0.02 * len(want)
+    assert got == want
 
 
 def test_overlaps_lose_no_near_copy(spark):
@@ -166,6 +166,27 @@ def test_overlaps_lose_no_near_copy(spark):
     assert len(want) >= 5 * 60 and got == want
 
 
+def test_matched_runs_are_merged():
+    words = [f"w{i}" for i in range(30)]
+    code = lambda ws: "".join(map(split_overlap.word_code, ws))
+    assert split_overlap.matched_runs(code(words), code(words)) == [(0, 30)]
+    assert split_overlap.matched_runs(code(words), code(words[3:9] + ["x"] + words[8:14] + ["y"] + words[20:24])) == [(3, 14)]
+    assert split_overlap.matched_runs(code(words[:2]), code(["x", *words[:2]])) == [(0, 2)] and split_overlap.matched_runs(code(words), code(["x"])) == []
+
+
+def test_overlap_is_reported_by_record(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    near = " ".join("new" if i in (20, 21) else f"w{i}" for i in range(40))
+    rows = [("t1", base, None, "a" * 40, "s1", TS), ("t2", base, None, None, "s1", TS), ("e1", base, None, None, "s1", TS), ("e2", near, None, None, "s2", TS), ("e3", "other words", None, "a" * 9, "s2", TS), ("e4", None, None, "HEAD", None, TS), ("e4", None, None, "HEAD", None, TS)]
+    inst = spark.createDataFrame(rows, "instance_id string, problem_statement string, gold_patch string, base_commit string, source_benchmark string, ingested_at timestamp")
+    man = spark.createDataFrame([("t1", "calibration"), ("t2", "calibration"), ("e1", "test"), ("e2", "test"), ("e3", "validation"), ("e4", "test"), ("e4", "test")], "instance_id string, split string")
+    got = {r["instance_id"]: (r["by_commit"], r["coverage"], r["partners"]) for r in split_overlap.record_overlap(inst, man).collect()}
+    assert got == {"e1": (False, 1.0, 1), "e2": (False, 38 / 40, 1), "e3": (True, None, 0)}
+    report = {(r["split"], r["source_benchmark"]): (r["pool_before_dedup"], r["pool_dropped_by_contamination"], r["mean_coverage"]) for r in split_overlap.overlap_report(inst, man).collect()}
+    assert report == {("test", "s1"): (1, 1, 1.0), ("test", "s2"): (1, 1, 0.95), ("validation", "s2"): (1, 1, None), ("test", None): (1, 0, None)}
+    assert split_overlap.record_overlap(inst.limit(0), man).count() == 0
+
+
 def test_commit_names(spark):
     df = spark.createDataFrame([("ABCDEF1234",), (" abcdef1 ",), ("HEAD",), ("",), (None,), ("0" * 40,), ("unknown",)], "c string")
     assert [r[0] for r in df.select(split_overlap.commit_name(F.col("c"))).collect()] == ["abcdef1234", "abcdef1", None, None, None, None, None]

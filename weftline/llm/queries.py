@@ -39,8 +39,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    instances, manifest = table(spark, sf_dir, "instances"), table(spark, sf_dir, "split_manifest")
-    return split_overlap.overlap_report(split_overlap.overlaps(instances, manifest), instances, manifest)
+    return split_overlap.overlap_report(table(spark, sf_dir, "instances"), table(spark, sf_dir, "split_manifest"))
+
+
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.record_overlap(table(spark, sf_dir, "instances"), table(spark, sf_dir, "split_manifest"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "p2_day_sketches": p2_day_sketches,
     "p3_found": p3_found,
     "p3_report": p3_report,
+    "p3_coverage": p3_coverage,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,

@@ -8,6 +8,12 @@ the part PREFIX with the rarest elements is held: two texts that agree by NEAR s
 those which their lengths give, so counting shared elements loses no pair.  Texts meet in blocks of
 one field and range of lengths, and every candidate is confirmed by the length of its longest
 common word sequence.
+
+Of confirmed pairs an Aho-Corasick automaton over all passages of the evaluation text scans the
+training text, and the matched runs are merged into the coverage of each evaluation record.
+
+Words have one of 729,000 codes: two words of one code count as one.  A pair of unequal words agrees
+by chance with 1.4e-6, whatever the size of the corpus, far below what moves an agreement of 3/4.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ NEAR = 0.75
 #: Share of a text's elements that is held; any share above 0.4 (1 - NEAR / (2 - NEAR)) is exact, a larger
 #: one leaves fewer candidates.
 PREFIX = 0.6
+#: Words of a passage whose matches make the coverage of an evaluation text.
+PASSAGE = 5
 #: Same words of a text are numbered apart up to NUMBERED, and counted apart over the corpus up to COUNTED.
 NUMBERED, COUNTED = 4096, 8
 #: Texts of a block of the training and the evaluation side.
@@ -270,12 +278,17 @@ def commit_name(raw: Column) -> Column:
     return F.when((c != "") & ~c.rlike("^0+$"), c)
 
 
-def commit_pairs(records: DataFrame) -> DataFrame:
-    """``eval_id, train_id`` of records whose commits are the same; an abbreviation names what it begins."""
+def same_commits(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records with a commit, and ``tc, ec`` of training and evaluation commits that are the same; an abbreviation names what it begins."""
     named = records.select("instance_id", "is_train", commit_name(F.col("base_commit")).alias("c")).filter("c is not null").distinct()
     t = named.filter("is_train").select(F.col("c").alias("tc")).distinct().withColumn("p", F.substring("tc", 1, 7))
     e = named.filter("not is_train").select(F.col("c").alias("ec")).distinct().withColumn("p", F.substring("ec", 1, 7))
-    same = t.join(e, "p").filter(F.col("tc").startswith(F.col("ec")) | F.col("ec").startswith(F.col("tc"))).select("tc", "ec")
+    return named, t.join(e, "p").filter(F.col("tc").startswith(F.col("ec")) | F.col("ec").startswith(F.col("tc"))).select("tc", "ec")
+
+
+def commit_pairs(records: DataFrame) -> DataFrame:
+    """``eval_id, train_id`` of records whose commits are the same."""
+    named, same = same_commits(records)
     return (
         same.join(named.filter("is_train").select(F.col("c").alias("tc"), F.col("instance_id").alias("train_id")), "tc")
         .join(named.filter("not is_train").select(F.col("c").alias("ec"), F.col("instance_id").alias("eval_id")), "ec")
@@ -283,23 +296,43 @@ def commit_pairs(records: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(instances: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``eval_id, train_id`` of all records of an evaluation split that are also in the training split.
+def commit_hits(records: DataFrame) -> DataFrame:
+    """``instance_id`` of the evaluation records whose commit is also a training record's."""
+    named, same = same_commits(records)
+    return named.filter("not is_train").join(same.select(F.col("ec").alias("c")).distinct(), "c").select("instance_id").distinct()
 
-    Records in no split take no part; null and empty texts agree with nothing; repeated deliveries
-    count once.  Copies are compared as one class and only written out as pairs at the end.
-    """
-    splits = manifest.filter(F.col("split").isin(TRAIN, *EVAL) & F.col("instance_id").isNotNull()).select("instance_id", (F.col("split") == TRAIN).alias("is_train")).distinct()
+
+def text_classes(instances: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``instance_id, is_train, key`` and classes of equal texts ``key, field, n, codes, is_train, is_eval``."""
     texts = coded(instances.select("instance_id", *FIELDS)).join(small(splits), "instance_id")
     texts = cut(texts.select("instance_id", "is_train", "field", "key", "n", "codes"))
     classes = cut(
         texts.groupBy("key").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("codes").alias("codes"), F.max("is_train").alias("is_train"), F.max(~F.col("is_train")).alias("is_eval"))
     )
-    near = near_pairs(classes).select("eval_key", "train_key")
+    return texts.select("instance_id", "is_train", "key").distinct(), classes
+
+
+def sides(manifest: DataFrame) -> DataFrame:
+    """``instance_id, is_train`` of the records in a split."""
+    return manifest.filter(F.col("split").isin(TRAIN, *EVAL) & F.col("instance_id").isNotNull()).select("instance_id", (F.col("split") == TRAIN).alias("is_train")).distinct()
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """``eval_key, train_key`` of classes that agree; a class with members on both sides agrees with itself."""
     same = classes.filter("is_train and is_eval").select(F.col("key").alias("eval_key"), F.col("key").alias("train_key"))
-    members = texts.select("instance_id", "is_train", "key").distinct()
+    return near_pairs(classes).select("eval_key", "train_key").unionByName(same)
+
+
+def overlaps(instances: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``eval_id, train_id`` of all records of an evaluation split that are also in the training split.
+
+    Records in no split take no part; null and empty texts agree with nothing; repeated deliveries
+    count once.  Copies are compared as one class and only written out as pairs at the end.
+    """
+    splits = sides(manifest)
+    members, classes = text_classes(instances, splits)
     by_text = (
-        near.unionByName(same)
+        class_pairs(classes)
         .join(members.filter("not is_train").select(F.col("key").alias("eval_key"), F.col("instance_id").alias("eval_id")), "eval_key")
         .join(members.filter("is_train").select(F.col("key").alias("train_key"), F.col("instance_id").alias("train_id")), "train_key")
         .select("eval_id", "train_id")
@@ -307,16 +340,80 @@ def overlaps(instances: DataFrame, manifest: DataFrame) -> DataFrame:
     return by_text.unionByName(commit_pairs(instances.select("instance_id", "base_commit").join(small(splits), "instance_id"))).distinct()
 
 
+def matched_runs(a: str, b: str, words: int = PASSAGE) -> list[tuple[int, int]]:
+    """Runs of words ``[start, end)`` of coded text ``a`` whose passages an automaton over all of them finds in ``b``, merged."""
+    import ahocorasick
+
+    n = len(a) // WIDTH
+    k = min(words, n)
+    places: dict[str, list[int]] = {}
+    for i in range(n - k + 1):
+        places.setdefault(a[i * WIDTH : (i + k) * WIDTH], []).append(i)
+    automaton = ahocorasick.Automaton()
+    for passage in places:
+        automaton.add_word(passage, passage)
+    automaton.make_automaton()
+    # A match counts where a word begins.
+    hits = {p for end, p in automaton.iter(b) if (end + 1) % WIDTH == 0}
+    out: list[tuple[int, int]] = []
+    for i in sorted(i for p in hits for i in places[p]):
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], i + k)
+        else:
+            out.append((i, i + k))
+    return out
+
+
+def class_coverage(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``eval_key, field, n, covered, partners``: words of an evaluation class that lie in passages of the training classes it agrees with.
+
+    Pairs are scanned one by one and their runs joined by counting distinct words, so an evaluation
+    text with any number of partners is in no one task.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            rows = [(k, t, s, e) for k, t, a, b in zip(batch["eval_key"], batch["train_key"], batch["a"], batch["b"]) for s, e in ([(0, len(a) // WIDTH)] if a == b else matched_runs(a, b))]
+            yield pd.DataFrame(rows, columns=["eval_key", "train_key", "s", "e"])
+
+    a = classes.filter("is_eval").select(F.col("key").alias("eval_key"), F.col("codes").alias("a"))
+    b = classes.filter("is_train").select(F.col("key").alias("train_key"), F.col("codes").alias("b"))
+    runs = pairs.join(a, "eval_key").join(b, "train_key").select("eval_key", "train_key", "a", "b").mapInPandas(run, "eval_key bigint, train_key bigint, s int, e int")
+    words = runs.select("eval_key", F.explode(F.sequence("s", F.col("e") - 1)).alias("at")).distinct().groupBy("eval_key").agg(F.count("*").alias("covered"))
+    partners = pairs.groupBy("eval_key").agg(F.count("*").alias("partners"))
+    return classes.filter("is_eval").select(F.col("key").alias("eval_key"), "field", "n").join(partners, "eval_key").join(words, "eval_key", "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
+
+def record_overlap(instances: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``instance_id, split, source_benchmark, by_commit, coverage, partners`` of each evaluation record that is also in training.
+
+    ``coverage`` is the greatest share of one of its texts that lies in passages of the training texts
+    it agrees with (null if only the commit is the same), ``partners`` the number of such texts.
+    Nothing is written out in pairs of records: a record overlaps if its class does.
+    """
+    splits = sides(manifest)
+    members, classes = text_classes(instances, splits)
+    held = class_coverage(classes, cut(class_pairs(classes))).select(F.col("eval_key").alias("key"), (F.col("covered") / F.col("n")).alias("coverage"), "partners")
+    by_text = members.filter("not is_train").join(held, "key").groupBy("instance_id").agg(F.max("coverage").alias("coverage"), F.sum("partners").alias("partners"))
+    by_commit = commit_hits(instances.select("instance_id", "base_commit").join(small(splits), "instance_id")).withColumn("by_commit", F.lit(True))
+    once = instances.groupBy("instance_id").agg(F.max_by("source_benchmark", F.struct("ingested_at", "source_benchmark")).alias("source_benchmark"))
+    rows = manifest.filter(F.col("split").isin(*EVAL)).select("instance_id", "split").distinct().join(once, "instance_id")
+    hit = by_text.join(by_commit, "instance_id", "full")
+    return rows.join(hit, "instance_id").select("instance_id", "split", "source_benchmark", F.coalesce("by_commit", F.lit(False)).alias("by_commit"), F.round("coverage", 6).alias("coverage"), F.coalesce("partners", F.lit(0)).alias("partners"))
+
+
 def found_pairs(pairs: DataFrame) -> DataFrame:
     """The pairs as ``instance_a < instance_b``."""
     return pairs.filter("eval_id <> train_id").select(F.least("eval_id", "train_id").alias("instance_a"), F.greatest("eval_id", "train_id").alias("instance_b")).distinct()
 
 
-def overlap_report(pairs: DataFrame, instances: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Per evaluation split and benchmark: records, and records that overlap with the training split."""
+def overlap_report(instances: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Per evaluation split and benchmark: records, records that are also in training, and how much of their texts on average."""
     once = instances.groupBy("instance_id").agg(F.max_by("source_benchmark", F.struct("ingested_at", "source_benchmark")).alias("source_benchmark"))
     rows = manifest.filter(F.col("split").isin(*EVAL)).select("instance_id", "split").distinct().join(once, "instance_id")
-    hit = pairs.select(F.col("eval_id").alias("instance_id"), F.lit(1).alias("hit")).distinct()
+    hit = record_overlap(instances, manifest).select("instance_id", F.lit(1).alias("hit"), "coverage")
     return rows.join(hit, "instance_id", "left").groupBy("split", "source_benchmark").agg(
-        F.count("*").alias("pool_before_dedup"), F.count("hit").alias("pool_dropped_by_contamination")
+        F.count("*").alias("pool_before_dedup"), F.count("hit").alias("pool_dropped_by_contamination"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
     )
