@@ -1,9 +1,10 @@
 """Splits that keep related records together (problem 5).
 
 Repositories are named in many ways and move; connected components over normalised names and moves
-are found by alternating large-star and small-star rounds.  The largest components are bundles of
-their own, the others are bundled by size and most frequent label; each bundle carries the counts of
-all its labels.  A min-cost flow with deviation costs divides every bundle over the splits, the flow
+are found by alternating large-star and small-star rounds.  Components of identical size and label
+profile are a bundle; the largest ones, which no other equals, are bundles of their own, and what is
+left beyond the bundles the driver holds goes by size class and most frequent label.  Each bundle
+carries the counts of all its labels.  A min-cost flow with deviation costs divides every bundle over the splits, the flow
 is rounded to whole members, moves and exchanges of members bring the labels nearer to their quotas,
 and members take their split by the rank of their hash.
 """
@@ -21,6 +22,8 @@ from weftline.runtime import cut, small
 SPLITS = ("calibration", "validation", "test")
 #: So many components, the largest with more than one record, are bundles of their own.
 OWN = 1000
+#: So many label profiles, those most components share, are bundles; the members of a bundle are then exactly alike.
+PROFILES = 1000
 #: Rounds of moves and exchanges over all bundles.
 BETTER_ROUNDS = 20
 #: Ratio between the size classes of the other bundles.
@@ -303,13 +306,22 @@ def grouped_split(instances: DataFrame, moves: DataFrame, config: DataFrame, nam
     )
     keyed = cut(keyed)
     counts = cut(keyed.groupBy("grp", "label").count())
-    groups = counts.groupBy("grp").agg(F.sum("count").alias("size"), F.max_by("label", F.struct("count", "label")).alias("main"))
+    # A component has at most as many labels as there are; their list is its profile.
+    groups = counts.groupBy("grp").agg(
+        F.sum("count").alias("size"), F.max_by("label", F.struct("count", "label")).alias("main"), F.xxhash64(F.sort_array(F.collect_list(F.struct("label", "count")))).alias("profile")
+    )
+    alike = groups.groupBy("profile").agg(F.count("*").alias("members")).filter("members > 1").orderBy(F.desc("members"), "profile").limit(PROFILES).select("profile", F.lit(True).alias("alike"))
     largest = groups.filter("size > 1").orderBy(F.desc("size"), "grp").limit(OWN).select("grp", F.lit(True).alias("own"))
     size_class = F.floor(F.log(SIZE_STEP, F.col("size"))).cast("string")
-    bundle = F.when(F.col("own"), F.concat(F.lit("own:"), "grp")).otherwise(F.concat(F.lit("all:"), size_class, F.lit(":"), "main"))
-    groups = groups.join(F.broadcast(largest), "grp", "left").withColumn("bundle", bundle).drop("own")
+    bundle = (
+        F.when(F.col("alike"), F.concat(F.lit("same:"), F.col("profile").cast("string")))
+        .when(F.col("own"), F.concat(F.lit("own:"), "grp"))
+        .otherwise(F.concat(F.lit("all:"), size_class, F.lit(":"), "main"))
+    )
+    # Both sides have at most OWN and PROFILES rows.
+    groups = groups.join(F.broadcast(largest), "grp", "left").join(F.broadcast(alike), "profile", "left").withColumn("bundle", bundle).drop("own", "alike", "profile", "main")
     groups = cut(groups.withColumn("h", F.xxhash64(F.lit(seed), "grp")).withColumn("range", F.pmod("h", F.lit(RANGES))))
-    # Bounded by OWN big ones and (size classes x labels) of the others, times the labels.
+    # Bounded by OWN big ones, PROFILES alike ones and (size classes x labels) of the others, times the labels.
     table = groups.groupBy("bundle").agg(F.count("*").alias("members"), F.sum("size").alias("records")).collect()
     profiles: dict[str, dict[str, int]] = {}
     for r in groups.select("grp", "bundle").join(counts, "grp").groupBy("bundle", "label").agg(F.sum("count").alias("n")).collect():
