@@ -69,7 +69,6 @@ def lexical(tokens: DataFrame, total: int, floor: float = 0.30, top: int = 5, po
     """
     df = tokens.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1
-    kept = df.withColumn("idf", idf).filter((F.col("df") >= 2) & (F.col("df") <= F.floor(F.greatest(F.lit(0.15 * total), F.lit(1.0)))) & (F.col("idf") >= 2) & (F.col("df") <= postings))
     weighed = tokens.join(df.withColumn("idf", idf).filter((F.col("idf") >= 2) & (F.col("df") <= F.floor(F.greatest(F.lit(0.15 * total), F.lit(1.0))))), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = weighed.filter((F.col("df") >= 2) & (F.col("df") <= postings)).join(norms, "doc").select("term", "doc", (F.col("w") / F.col("norm")).alias("u"))

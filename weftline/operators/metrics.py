@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import order
+
 
 def percentile_block(df: DataFrame, by: str, value: str) -> DataFrame:
     """Interpolated percentiles, mean, maximum and population deviation of a value per group."""
-    v = F.col(value)
-    aggs = [F.round(F.percentile(v, F.lit(q / 100)), 6).alias(f"p{q}") for q in (25, 50, 75, 95, 99)]
-    return df.groupBy(by).agg(F.count(v).alias("n"), *aggs, F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("max"), F.round(F.stddev_pop(v), 6).alias("std"))
+    v, qs = F.col(value), (25, 50, 75, 95, 99)
+    exact = order.percentiles(df, by, value, [q / 100 for q in qs]).select(F.col(by).alias("__by"), *[F.round(f"q{i}", 6).alias(f"p{q}") for i, q in enumerate(qs)])
+    plain = df.groupBy(by).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("max"), F.round(F.stddev_pop(v), 6).alias("std"))
+    # One row per group on both sides.
+    return plain.join(exact, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "n", *[f"p{q}" for q in qs], "mean", "max", "std")
 
 
 def f_beta(precision: Column, recall: Column, beta: float) -> Column:
@@ -20,6 +24,11 @@ def f_beta(precision: Column, recall: Column, beta: float) -> Column:
     return F.when(down > 0, (1 + b) * precision * recall / down).when(down == 0, F.lit(0.0))
 
 
+def recall(selected: Column, gold: Column) -> Column:
+    """Share of the gold set that a selected set holds; null for an empty gold set."""
+    return F.when(F.size(gold) > 0, F.size(F.array_intersect(selected, gold)) / F.size(gold))
+
+
 def holm(p: DataFrame) -> DataFrame:
     """Step-down Holm adjustment of ``test, p``."""
     w = Window.orderBy("p", "test")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
+from weftline.operators import order
 
 # BM25 and fusion parameters.
 K1, B, SMOOTH, MIN_TERM = 2.5, 0.75, 0.5, 3
@@ -32,7 +33,18 @@ def bm25(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def ranked(scores: DataFrame, group: str = "query", item: str = "doc") -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), item)))
+    """``rank`` by descending score inside each group, found by ranges of the order: a group is in no one task."""
+    rows = order.running(scores, group, [-F.col("score"), F.col(item)], F.lit(1))
+    return rows.withColumn("rank", (F.col("before") + 1).cast("int")).drop("before")
+
+
+def percent_ranked(scores: DataFrame) -> DataFrame:
+    """Scores with ``p``, the share of a query's other documents that score less."""
+    levels = scores.groupBy("query", "score").agg(F.count("*").alias("c"))
+    below = order.running(levels, "query", [F.col("score")], F.col("c")).select("query", "score", "before")
+    sizes = levels.groupBy("query").agg(F.sum("c").alias("all"))
+    share = F.when(F.col("all") > 1, F.col("before") / (F.col("all") - 1)).otherwise(F.lit(0.0))
+    return scores.join(below.join(sizes, "query").select("query", "score", share.alias("p")), ["query", "score"])
 
 
 def rrf(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -45,9 +57,10 @@ def rrf(a: DataFrame, b: DataFrame) -> DataFrame:
 def pit(structural: DataFrame, lexical: DataFrame) -> DataFrame:
     """Percentiles of two scores blended, with a bonus where both have the document near their top."""
 
-    def side(df: DataFrame, p: str, r: str) -> DataFrame:
-        return ranked(df).withColumn(p, F.percent_rank().over(Window.partitionBy("query").orderBy("score"))).select("query", "doc", p, F.col("rank").alias(r))
+    def side(df: DataFrame, p: str, top: str) -> DataFrame:
+        best = order.top_per_group(df, "query", [F.desc("score"), F.asc("doc")], AGREE_TOP).select("query", "doc", F.lit(True).alias(top))
+        return percent_ranked(df).join(best, ["query", "doc"], "left").select("query", "doc", F.col("p").alias(p), top)
 
-    both = side(structural, "ps", "rs").join(side(lexical, "pl", "rl"), ["query", "doc"], "full")
-    bonus = F.when((F.col("rs") <= AGREE_TOP) & (F.col("rl") <= AGREE_TOP), F.lit(AGREEMENT)).otherwise(F.lit(0.0))
+    both = side(structural, "ps", "ts").join(side(lexical, "pl", "tl"), ["query", "doc"], "full")
+    bonus = F.when(F.col("ts") & F.col("tl"), F.lit(AGREEMENT)).otherwise(F.lit(0.0))
     return both.select("query", "doc", F.round(BLEND * F.coalesce("ps", F.lit(0.0)) + (1 - BLEND) * F.coalesce("pl", F.lit(0.0)) + bonus, 8).alias("score"))

@@ -11,7 +11,8 @@ from weftline.operators import ranking
 from weftline.operators import relations as R
 from weftline.operators import rules
 from weftline.plans.registry import query
-from weftline.runtime import cut, table
+from weftline.runtime import table
+from weftline.sources import tokens
 
 
 def both_sql(pairs: str, forward: str, reverse: str, category: str) -> str:
@@ -72,7 +73,7 @@ def cochange_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def lexical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
-    return E.lexical(cut(ranking.tokens(docs, "doc_id", "text")), docs.count())
+    return E.lexical(tokens.token_table(docs, "doc_id", "text", ranking.MIN_TERM), docs.count())
 
 
 @query(

@@ -12,6 +12,7 @@ from weftline.operators import relations as R
 from weftline.plans.edge_queries import COCHANGE_EDGES, COCHANGE_SQL, MERGED_SQL, fragment_edges
 from weftline.plans.registry import Query, query
 from weftline.runtime import cut, table
+from weftline.sources import tokens
 
 # Seeds of the co-change graph: parts of the largest order.
 SEED_SQL = "sd AS (SELECT DISTINCT l_partkey AS node FROM lineitem WHERE l_orderkey = (SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY sum(l_quantity) DESC, l_orderkey LIMIT 1))"
@@ -103,12 +104,12 @@ def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {TRADE_SQL}, w AS (SELECT src, dst, sum(weight) AS weight FROM o WHERE src <> dst GROUP BY 1, 2),
-    k AS MATERIALIZED (SELECT a.src, a.dst FROM w a LEFT JOIN w b ON a.src = b.dst AND a.dst = b.src WHERE a.weight >= 0.98 * coalesce(b.weight, 0)),
+    k AS MATERIALIZED (SELECT a.src, a.dst FROM w a LEFT JOIN w b ON a.src = b.dst AND a.dst = b.src WHERE a.weight >= 0.8 * coalesce(b.weight, 0)),
     r(a, b) AS (SELECT src, dst FROM k UNION SELECT r.a, k.dst FROM r JOIN k ON r.b = k.src)
     SELECT x.a AS node, least(x.a, min(x.b)) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""")
 def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = trade(spark, sf_dir).filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    return G.cycles(G.dominant(w, 0.98))
+    return G.cycles(G.dominant(w))
 
 
 @query("""WITH d AS (SELECT user_id AS node, count(DISTINCT event_type) AS degree FROM events GROUP BY 1),
@@ -152,7 +153,8 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(ranking.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"))
+    """``doc, term, tf`` from the derived token table: the corpus is tokenised once, whatever asks for it."""
+    return tokens.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", ranking.MIN_TERM)
 
 
 @query(f"WITH {QUERY_SQL}, {BM25_SQL} SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm")

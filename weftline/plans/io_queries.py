@@ -20,7 +20,7 @@ def patch_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.patch_hunks(R.instances(spark, sf_dir), "instance_id", "gold_patch")
 
 
-@query(r"""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_patch FROM instances), l AS (SELECT instance_id, unnest(string_split(gold_patch, chr(10))) AS line FROM i)
+@query(r"""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_patch FROM instances ORDER BY instance_id, ingested_at DESC NULLS LAST), l AS (SELECT instance_id, unnest(string_split(gold_patch, chr(10))) AS line FROM i)
     SELECT instance_id, count(*) FILTER (regexp_matches(line, '^\+') AND NOT regexp_matches(line, '^\+\+\+ ')) AS added, count(*) FILTER (regexp_matches(line, '^-') AND NOT regexp_matches(line, '^--- ')) AS removed
     FROM l GROUP BY 1 HAVING added + removed > 0""")
 def hunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def hunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("instance_id").agg(F.sum("new_len").alias("added"), F.sum("old_len").alias("removed"))
 
 
-@query(r"""WITH f AS (SELECT repo || '/' || path AS path, sum(strlen(content))::BIGINT AS size FROM (SELECT DISTINCT ON (fragment_id) * FROM fragments) WHERE repo IS NOT NULL AND path IS NOT NULL GROUP BY 1),
+@query(r"""WITH f AS (SELECT repo || '/' || path AS path, sum(strlen(content))::BIGINT AS size FROM (SELECT DISTINCT ON (fragment_id) * FROM fragments ORDER BY fragment_id, ingested_at DESC NULLS LAST) WHERE repo IS NOT NULL AND path IS NOT NULL GROUP BY 1),
     p AS (SELECT string_split(path, '/') AS parts, size FROM f), u AS (SELECT array_to_string(list_slice(parts, 1, k), '/') AS node, k AS depth, k = len(parts) AS is_file, size FROM (SELECT parts, size, unnest(range(1, len(parts) + 1)) AS k FROM p))
     SELECT node, depth, is_file, count(*) AS files, sum(size)::BIGINT AS bytes FROM u GROUP BY 1, 2, 3""")
 def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,10 @@ def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {COCHANGE_SQL}, ed AS ({COCHANGE_EDGES}), n AS (SELECT src FROM ed UNION SELECT dst FROM ed) SELECT 1 AS ord, '<node id="' || src || '"/>' AS line FROM n
+    UNION ALL SELECT 2, '<edge source="' || src || '" target="' || dst || '"><data key="weight">' || round(weight, 4) || '</data><data key="category">' || category || '</data></edge>' FROM ed
     UNION ALL SELECT 0, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">' UNION ALL SELECT 3, '</graph></graphml>'""")
-def graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.graphml_rows(E.cochange(R.baskets(spark, sf_dir))).filter("ord <> 2")
+def graphml_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.graphml_rows(E.cochange(R.baskets(spark, sf_dir)))
 
 
 @query()

@@ -30,7 +30,7 @@ def path_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.path_links(cut(R.fragments(spark, sf_dir).select("repo", "path", "file", "content")))
 
 
-@query(r"""WITH d AS (SELECT DISTINCT ON (fragment_id) fragment_id AS id, language, content FROM fragments), k AS (SELECT DISTINCT unnest(regexp_extract_all(content, '(?m)^([a-z]+(?:\.[a-z]+)*)=', 1)) AS key FROM d WHERE language = 'properties'),
+@query(r"""WITH d AS (SELECT DISTINCT ON (fragment_id) fragment_id AS id, language, content FROM fragments ORDER BY fragment_id, ingested_at DESC NULLS LAST), k AS (SELECT DISTINCT unnest(regexp_extract_all(content, '(?m)^([a-z]+(?:\.[a-z]+)*)=', 1)) AS key FROM d WHERE language = 'properties'),
     u AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, '\b[a-z]+(?:\.[a-z]+)+\b')) AS key FROM d WHERE language <> 'properties'), s AS (SELECT id, key, string_split(key, '.') AS p FROM u),
     t AS (SELECT id, key, array_to_string(list_slice(p, 1, n), '.') AS defined FROM (SELECT *, unnest(range(1, len(p) + 1)) AS n FROM s))
     SELECT id, t.key, arg_max(defined, length(defined)) AS defined FROM t JOIN k ON t.defined = k.key GROUP BY 1, 2""")
@@ -65,7 +65,7 @@ def layout_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.layout_only(patch_hunks(spark, sf_dir)).select("instance_id", "path", "new_start", "new_len", "layout")
 
 
-@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_files FROM instances) SELECT instance_id, 8000 - (24 + 4 * coalesce(len(gold_files), 0)) AS budget FROM i""")
+@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_files FROM instances ORDER BY instance_id, ingested_at DESC NULLS LAST) SELECT instance_id, 8000 - (24 + 4 * coalesce(len(gold_files), 0)) AS budget FROM i""")
 def envelope_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of a budget once the document's envelope is charged: 24 tokens and 4 an entry."""
     return R.instances(spark, sf_dir).select("instance_id", (8000 - (24 + 4 * F.coalesce(F.size("gold_files"), F.lit(0)))).alias("budget"))

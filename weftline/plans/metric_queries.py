@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import fragmenting as TG
 from weftline.operators import metrics as M
+from weftline.operators import order
 from weftline.operators import relations as R
 from weftline.plans.registry import query
-from weftline.runtime import table
+from weftline.runtime import cut, table
 
 QS = {25: 0.25, 50: 0.5, 75: 0.75, 95: 0.95, 99: 0.99}
 
@@ -18,24 +20,26 @@ def percentile_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.percentile_block(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
 
 
-@query(f"WITH {R.RESULTS_SQL} SELECT scorer, count(elapsed_seconds) AS n, quantile_disc(elapsed_seconds, 0.5) AS p50, quantile_disc(elapsed_seconds, 0.95) AS p95 FROM r GROUP BY 1")
+@query(f"WITH {R.RESULTS_SQL} SELECT scorer, count(elapsed_seconds) AS n, quantile_disc(elapsed_seconds, 0.5) AS p50, quantile_disc(elapsed_seconds, 0.95) AS p95 FROM r WHERE elapsed_seconds IS NOT NULL GROUP BY 1")
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles by position in the order of each group."""
-    r = R.results(spark, sf_dir).filter("elapsed_seconds is not null").select("scorer", "elapsed_seconds")
-    w = Window.partitionBy("scorer")
-    ranked = r.withColumn("k", F.row_number().over(w.orderBy("elapsed_seconds"))).withColumn("n", F.count("*").over(w))
-    pick = lambda q: F.max(F.when(F.col("k") == F.ceil(q * F.col("n")), F.col("elapsed_seconds")))
-    return ranked.groupBy("scorer").agg(F.max("n").alias("n"), pick(0.5).alias("p50"), pick(0.95).alias("p95"))
+    """Nearest-rank percentiles: a value of the data, found by counting ranges."""
+    r = R.results(spark, sf_dir).select("scorer", "elapsed_seconds")
+    got = order.percentiles(r, "scorer", "elapsed_seconds", (0.5, 0.95), interpolate=False)
+    return got.select("scorer", "n", F.col("q0").alias("p50"), F.col("q1").alias("p95"))
 
 
+BETAS = {"half": 0.5, "one": 1.0, "two": 2.0}
 FB = "CASE WHEN {b} * file_precision + file_recall > 0 THEN (1 + {b}) * file_precision * file_recall / ({b} * file_precision + file_recall) WHEN {b} * file_precision + file_recall = 0 THEN 0 END"
 
 
 @query(f"WITH {R.RESULTS_SQL} SELECT source_benchmark, " + ", ".join(f"round(avg({FB.format(b=b * b)}), 6) AS mean_{n}, round(quantile_cont({FB.format(b=b * b)}, 0.5), 6) AS median_{n}" for n, b in (("half", 0.5), ("one", 1.0), ("two", 2.0))) + " FROM r GROUP BY 1")
 def f_beta_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = lambda b: M.f_beta(F.col("file_precision"), F.col("file_recall"), b)
-    aggs = [x for n, b in (("half", 0.5), ("one", 1.0), ("two", 2.0)) for x in (F.round(F.avg(f(b)), 6).alias(f"mean_{n}"), F.round(F.percentile(f(b), F.lit(0.5)), 6).alias(f"median_{n}"))]
-    return R.results(spark, sf_dir).groupBy("source_benchmark").agg(*aggs)
+    rows = cut(R.results(spark, sf_dir).select("source_benchmark", *[M.f_beta(F.col("file_precision"), F.col("file_recall"), b).alias(n) for n, b in BETAS.items()]))
+    out = rows.groupBy("source_benchmark").agg(*[F.round(F.avg(n), 6).alias(f"mean_{n}") for n in BETAS])
+    for n in BETAS:
+        mid = order.percentiles(rows, "source_benchmark", n, (0.5,)).select(F.col("source_benchmark").alias("b"), F.round("q0", 6).alias(f"median_{n}"))
+        out = out.join(mid, F.col("source_benchmark").eqNullSafe(F.col("b")), "left").drop("b")
+    return out
 
 
 @query(f"""WITH {R.RESULTS_SQL} SELECT scorer, count(file_recall) AS n, round(100.0::DOUBLE * count(*) FILTER (file_recall >= 1) / count(file_recall), 4) AS perfect, round(100.0::DOUBLE * count(*) FILTER (file_recall = 0) / count(file_recall), 4) AS zero,
@@ -67,7 +71,7 @@ def min_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("config_hash").agg(F.round(F.min("m"), 6).alias("objective"), F.min_by("source_benchmark", F.struct(F.round("m", 9), F.col("source_benchmark"))).alias("weakest"))
 
 
-@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_files, gold_patch FROM instances), s AS (SELECT instance_id, list_distinct(regexp_extract_all(gold_patch, '(?m)^diff --git a/(\\S+)', 1)) AS sel, gold_files FROM i WHERE gold_files IS NOT NULL AND gold_patch IS NOT NULL)
+@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_files, gold_patch FROM instances ORDER BY instance_id, ingested_at DESC NULLS LAST), s AS (SELECT instance_id, list_distinct(regexp_extract_all(gold_patch, '(?m)^diff --git a/(\\S+)', 1)) AS sel, gold_files FROM i WHERE gold_files IS NOT NULL AND gold_patch IS NOT NULL)
     SELECT instance_id, round(len(list_intersect(sel, list_distinct(gold_files)))::DOUBLE / greatest(len(list_distinct(gold_files)), 1), 6) AS recall, CASE WHEN len(sel) > 0 THEN round(len(list_intersect(sel, list_distinct(gold_files)))::DOUBLE / len(sel), 6) END AS precision FROM s""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files a patch names against the gold files."""
@@ -77,21 +81,31 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("instance_id", F.round(hit / F.greatest(F.size("gold"), F.lit(1)), 6).alias("recall"), F.when(F.size("sel") > 0, F.round(hit / F.size("sel"), 6)).alias("precision"))
 
 
-@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_fragments FROM instances), g AS (SELECT DISTINCT instance_id, x.path AS path, unnest(range(x.start_line, x.end_line + 1)) AS line FROM (SELECT instance_id, unnest(gold_fragments) AS x FROM i))
+@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_fragments FROM instances ORDER BY instance_id, ingested_at DESC), g AS (SELECT DISTINCT instance_id, x.path AS path, unnest(range(x.start_line, x.end_line + 1)) AS line FROM (SELECT instance_id, unnest(gold_fragments) AS x FROM i))
     SELECT instance_id, count(*) AS gold_lines, count(DISTINCT path) AS gold_paths FROM g GROUP BY 1""")
 def gold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct gold lines of an instance: ranges merged per path, so no line is written out twice."""
-    g = R.instances(spark, sf_dir).select("instance_id", F.explode("gold_fragments").alias("x")).filter("x.start_line <= x.end_line")
-    lines = g.select("instance_id", "x.path", F.explode(F.sequence("x.start_line", "x.end_line")).alias("line")).distinct()
-    return lines.groupBy("instance_id").agg(F.count("*").alias("gold_lines"), F.countDistinct("path").alias("gold_paths"))
-
-
-@query(f"""WITH {R.RESULTS_SQL}, b AS (SELECT instance_id, max(file_recall) FILTER (scorer = 'bm25') AS a, max(file_recall) FILTER (scorer = 'ego') AS e FROM r WHERE instance_id IS NOT NULL GROUP BY 1)
-    SELECT count(*) AS n, round(avg(a), 6) AS bm25, round(avg(e), 6) AS ego, round(avg(greatest(a, e)), 6) AS ceiling FROM b WHERE a IS NOT NULL AND e IS NOT NULL""")
+    """Distinct gold lines of an instance: ranges are merged per path and their lengths added, no line is written out."""
+    g = R.instances(spark, sf_dir).select("instance_id", F.posexplode("gold_fragments").alias("id", "x")).filter("x.start_line <= x.end_line")
+    key = F.struct("instance_id", F.col("x.path").alias("path"))
+    merged = TG.merged_ranges(g.select(key.alias("key"), "id", F.col("x.start_line").alias("start_line"), F.col("x.end_line").alias("end_line")), "key")
+    lines = F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long")
+    return merged.groupBy("key.instance_id").agg(lines.alias("gold_lines"), F.countDistinct("key.path").alias("gold_paths"))
+
+
+@query(r"""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_files, gold_patch, problem_statement FROM instances ORDER BY instance_id, ingested_at DESC),
+    s AS (SELECT instance_id, list_distinct(gold_files) AS gold, list_distinct(regexp_extract_all(gold_patch, '(?m)^diff --git a/(\S+)', 1)) AS a,
+      list_distinct(regexp_extract_all(problem_statement, '[\w./-]+/[\w.-]+\.[a-z]+')) AS e FROM i WHERE len(gold_files) > 0 AND gold_patch IS NOT NULL AND problem_statement IS NOT NULL)
+    SELECT count(*) AS n, round(avg(len(list_intersect(a, gold))::DOUBLE / len(gold)), 6) AS first, round(avg(len(list_intersect(e, gold))::DOUBLE / len(gold)), 6) AS second,
+      round(avg(len(list_intersect(list_distinct(list_concat(a, e)), gold))::DOUBLE / len(gold)), 6) AS ceiling FROM s""")
 def union_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda s: F.max(F.when(F.col("scorer") == s, F.col("file_recall")))
-    b = R.results(spark, sf_dir).filter("instance_id is not null").groupBy("instance_id").agg(pick("bm25").alias("a"), pick("ego").alias("e")).filter("a is not null and e is not null")
-    return b.agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("bm25"), F.round(F.avg("e"), 6).alias("ego"), F.round(F.avg(F.greatest("a", "e")), 6).alias("ceiling"))
+    """Recall of two selections, and of the union of their files: the files a patch names and those its problem names."""
+    i = R.instances(spark, sf_dir).filter("size(gold_files) > 0 and gold_patch is not null and problem_statement is not null")
+    sel = i.select(
+        F.array_distinct("gold_files").alias("gold"),
+        F.array_distinct(F.regexp_extract_all("gold_patch", F.lit(r"(?m)^diff --git a/(\S+)"), F.lit(1))).alias("a"),
+        F.array_distinct(F.regexp_extract_all("problem_statement", F.lit(r"[\w./-]+/[\w.-]+\.[a-z]+"), F.lit(0))).alias("e"),
+    )
+    return sel.agg(F.count("*").alias("n"), *[F.round(F.avg(M.recall(x, F.col("gold"))), 6).alias(n) for n, x in (("first", F.col("a")), ("second", F.col("e")), ("ceiling", F.array_union("a", "e")))])
 
 
 @query(f"""WITH {R.RESULTS_SQL}, x AS (SELECT instance_id, budget, max(used_tokens) AS u FROM r WHERE scorer = 'bm25' GROUP BY 1, 2), y AS (SELECT instance_id, budget, max(used_tokens) AS u FROM r WHERE scorer = 'ego' GROUP BY 1, 2)
@@ -104,12 +118,14 @@ def equivalence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("budget").agg(F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE text IS NOT NULL AND source = 'changelog'), p AS (SELECT doc_id, w, lag(w) OVER (ORDER BY doc_id) AS v FROM d)
+@query("""WITH d AS (SELECT doc_id, repo, path, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL AND path IS NOT NULL),
+    p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY repo, path ORDER BY doc_id) AS v FROM d)
     SELECT doc_id, round(len(list_intersect(w, v))::DOUBLE / greatest(len(list_distinct(list_concat(w, v))), 1), 6) AS jaccard FROM p WHERE v IS NOT NULL""")
 def jaccard_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of the words of each changelog with the one before."""
-    d = table(spark, sf_dir, "documents").filter("text is not null and source = 'changelog'").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    p = d.withColumn("v", F.lag("w").over(Window.orderBy("doc_id"))).filter("v is not null")
+    """Overlap of the words of each text of a file with the one before: how far a selection moves from run to run."""
+    d = table(spark, sf_dir, "documents").filter("text is not null and repo is not null and path is not null")
+    d = d.select("doc_id", "repo", "path", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    p = d.withColumn("v", F.lag("w").over(Window.partitionBy("repo", "path").orderBy("doc_id"))).filter("v is not null")
     return p.select("doc_id", F.round(F.size(F.array_intersect("w", "v")) / F.greatest(F.size(F.array_union("w", "v")), F.lit(1)), 6).alias("jaccard"))
 
 
@@ -160,7 +176,7 @@ def latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.max("r").alias("r")).select("user_id", "r.event_id", "r.event_type", "r.ts")
 
 
-@query("WITH s AS (SELECT DISTINCT instance_id, split FROM split_manifest), i AS (SELECT DISTINCT ON (instance_id) instance_id, repo, base_commit FROM instances) SELECT instance_id FROM i JOIN s USING (instance_id) WHERE split <> 'calibration' AND NOT EXISTS (SELECT 1 FROM i x JOIN s y ON x.instance_id = y.instance_id AND y.split = 'calibration' WHERE x.repo = i.repo AND x.base_commit = i.base_commit)")
+@query("WITH s AS (SELECT DISTINCT instance_id, split FROM split_manifest), i AS (SELECT DISTINCT ON (instance_id) instance_id, repo, base_commit FROM instances ORDER BY instance_id, ingested_at DESC NULLS LAST) SELECT instance_id FROM i JOIN s USING (instance_id) WHERE split <> 'calibration' AND NOT EXISTS (SELECT 1 FROM i x JOIN s y ON x.instance_id = y.instance_id AND y.split = 'calibration' WHERE x.repo = i.repo AND x.base_commit = i.base_commit)")
 def contamination_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation instances whose repo and commit, as written, are not in the training split."""
     s = table(spark, sf_dir, "split_manifest").select("instance_id", "split").distinct()

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import edges as E
 from weftline.operators import fragmenting as TG
-from weftline.operators import ranking
+from weftline.operators import order, ranking
 from weftline.operators import relations as R
 from weftline.operators import selection as S
 from weftline.plans.graph_queries import BM25_SQL, QUERY_SQL, corpus, source_terms
@@ -50,11 +50,12 @@ def locate_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What did not fit: the 50 best of each query, with the true number."""
     all_docs = cut(costed(spark, sf_dir).select("query", "doc", "score", "cost"))
     left = all_docs.join(S.greedy_pack(all_docs, BUDGET).select("query", "doc"), ["query", "doc"], "left_anti")
-    w = Window.partitionBy("query")
-    return left.withColumn("total", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc"))).filter("rank <= 50").select("query", "doc", "score", "rank", "total")
+    left = cut(left)
+    total = left.groupBy("query").agg(F.count("*").alias("total"))
+    return order.top_per_group(left, "query", [F.desc("score"), F.asc("doc")], 50).join(F.broadcast(total), "query").select("query", "doc", "score", "rank", "total")
 
 
-@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_patch FROM instances WHERE gold_patch IS NOT NULL), t AS (SELECT instance_id, least(greatest(strlen(gold_patch) // 4, 1), 1500) AS core FROM i)
+@query("""WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_patch FROM instances WHERE gold_patch IS NOT NULL ORDER BY instance_id, ingested_at DESC NULLS LAST), t AS (SELECT instance_id, least(greatest(strlen(gold_patch) // 4, 1), 1500) AS core FROM i)
     SELECT instance_id, core, greatest(least(3 * core, 48000), 8000) AS budget FROM t""")
 def auto_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = R.instances(spark, sf_dir).filter("gold_patch is not null")
@@ -117,11 +118,12 @@ def boltzmann_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT x.query, source, arg_min(doc, struct_pack(s := -score, d := doc)) AS doc FROM x JOIN tt USING (query) JOIN documents ON doc = doc_id WHERE score >= floor_score AND source IS NOT NULL GROUP BY 1, 2""")
 def rescue_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the best fifth of each query's documents, the best one of every source."""
-    w = Window.partitionBy("query")
-    s = costed(spark, sf_dir).filter("score > 0").select("query", "doc", "score").withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "doc"))).withColumn("n", F.count("*").over(w))
-    cutoff = F.max(F.when(F.col("r") == F.floor(F.col("n") * (1 - F.lit(S.RESCUE_PERCENTILE))) + 1, F.col("score"))).over(w)
+    s = cut(costed(spark, sf_dir).filter("score > 0").select("query", "doc", "score"))
+    n = s.groupBy("query").agg(F.count("*").alias("n"))
+    ranks = ranking.ranked(s).join(F.broadcast(n), "query")
+    floor = ranks.filter(F.col("rank") == F.floor(F.col("n") * (1 - F.lit(S.RESCUE_PERCENTILE))) + 1).select("query", F.col("score").alias("floor"))
     src = table(spark, sf_dir, "documents").filter("source is not null").select(F.col("doc_id").alias("doc"), "source")
-    return s.withColumn("floor", cutoff).filter("score >= floor").join(src, "doc").groupBy("query", "source").agg(F.min_by("doc", F.struct(-F.col("score"), F.col("doc"))).alias("doc"))
+    return s.join(F.broadcast(floor), "query").filter("score >= floor").join(src, "doc").groupBy("query", "source").agg(F.min_by("doc", F.struct(-F.col("score"), F.col("doc"))).alias("doc"))
 
 
 @query(f"""WITH {R.FRAGMENTS_SQL}, o AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY file ORDER BY start_line, end_line, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS new FROM (SELECT * FROM f)),

@@ -92,7 +92,7 @@ def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH f AS (SELECT DISTINCT ON (fragment_id) fragment_id, repo, path, content FROM fragments),
+    WITH f AS (SELECT DISTINCT ON (fragment_id) fragment_id, repo, path, content FROM fragments ORDER BY fragment_id, ingested_at DESC NULLS LAST),
     h AS (SELECT fragment_id, repo, path, lower(array_to_string(list_slice(string_split(content, chr(10)), 1, 10), chr(10))) AS head FROM f)
     SELECT fragment_id, repo, path FROM h WHERE (contains(head, 'do not edit') AND contains(head, 'generat')) OR regexp_matches(head, '@generated([^a-z]|$)')
       OR regexp_matches(head, 'code generated by|auto-generated|autogenerated|this file is generated|automatically generated|auto generated')
@@ -111,7 +111,7 @@ def file_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).withColumn("importance", X.importance(F.col("path")))
 
 
-PATCH_LINES_SQL = """i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_patch FROM instances),
+PATCH_LINES_SQL = """i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_patch FROM instances ORDER BY instance_id, ingested_at DESC NULLS LAST),
     l AS (SELECT instance_id, unnest(string_split(gold_patch, chr(10))) AS line FROM i)"""
 
 
@@ -142,7 +142,7 @@ def change_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("WITH f AS (SELECT DISTINCT ON (fragment_id) fragment_id, content FROM fragments) SELECT category, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(
+@query("WITH f AS (SELECT DISTINCT ON (fragment_id) fragment_id, content FROM fragments ORDER BY fragment_id, ingested_at DESC NULLS LAST) SELECT category, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS category, len(regexp_extract_all(content, '{p}')) AS n FROM f" for c, p in X.SHAPES.items()) + ") WHERE n > 0 GROUP BY 1")
 def redacted_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "fragments").select("fragment_id", "content").dropDuplicates(["fragment_id"])
@@ -164,7 +164,7 @@ def sanitized_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH f AS (SELECT DISTINCT ON (fragment_id) fragment_id, language, content FROM fragments), l AS (SELECT language, unnest(string_split(content, chr(10))) AS line FROM f)
+    WITH f AS (SELECT DISTINCT ON (fragment_id) fragment_id, language, content FROM fragments ORDER BY fragment_id, ingested_at DESC NULLS LAST), l AS (SELECT language, unnest(string_split(content, chr(10))) AS line FROM f)
     SELECT language, count(*) AS lines, count(*) FILTER (regexp_matches(line, '{X.COMMENT_LINE.replace("'", "''")}')) AS comments FROM l GROUP BY 1
 """)
 def comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

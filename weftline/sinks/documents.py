@@ -12,6 +12,14 @@ def fence(text: Column) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
 
 
+def json_string(text: Column) -> Column:
+    """A text as a JSON string with its quotes; YAML reads it too.  Line separators YAML would break at are escaped."""
+    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("c"))), r'(?s)^\{"c":(.*)\}$', 1)
+    for c in ("\x7f", "\x85", "\u2028", "\u2029"):
+        quoted = F.replace(quoted, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return quoted
+
+
 def markdown(fragments: DataFrame) -> DataFrame:
     """``path, start_line, block``: one fenced block per fragment of ``path, start_line, end_line, content``."""
     f = fence(F.col("content"))
@@ -28,9 +36,8 @@ def yaml(fragments: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("content", "\n$", ""), "(?m)^(?=.)", "    ")
     chomp = F.when(F.col("content").rlike("\n\n$"), "|+").when(F.col("content").endswith("\n"), "|").otherwise("|-")
     plain = ~F.col("content").rlike("[\\x00-\\x08\\x0b-\\x1f\\x7f\\x85\\u2028\\u2029]") & ~F.col("content").rlike("^\\s")
-    quoted = F.regexp_extract(F.to_json(F.struct(F.col("content").alias("c"))), r'^\{"c":(.*)\}$', 1)
-    scalar = F.when(plain, F.concat(chomp, F.lit("\n"), body)).otherwise(quoted)
-    return fragments.select("path", "start_line", F.concat(F.lit("- path: "), F.to_json(F.struct("path")).substr(9, 100000), F.lit("\n  content: "), scalar).alias("block"))
+    scalar = F.when(plain, F.concat(chomp, F.lit("\n"), body)).otherwise(json_string(F.col("content")))
+    return fragments.select("path", "start_line", F.concat(F.lit("- path: "), json_string(F.col("path")), F.lit("\n  content: "), scalar).alias("block"))
 
 
 def context_document(selected: DataFrame, totals: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ from weftline.functions import text as X
 CONTEXT_BYTES, CHANGED_BYTES, BINARY_WINDOW = 100_000, 5_000_000, 8192
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text; every invalid UTF-8 sequence becomes U+FFFD, in the JVM."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def read_tree(spark: SparkSession, root: str, most_bytes: int = CONTEXT_BYTES, known_only: bool = True) -> DataFrame:
     """``path, size, content`` of the text files under a folder.
 
@@ -26,8 +31,8 @@ def read_tree(spark: SparkSession, root: str, most_bytes: int = CONTEXT_BYTES, k
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).filter(F.col("length") <= most_bytes)
     if known_only:
         files = files.filter(X.language(F.col("path")) != "other")
-    text = files.filter(F.instr(F.hex(F.substring("content", 1, BINARY_WINDOW)), "00") % 2 != 1)
-    plain = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""), "\r\n?", "\n")
+    text = files.filter(~F.contains(F.substring("content", 1, BINARY_WINDOW), F.lit(b"\x00")))
+    plain = F.regexp_replace(F.regexp_replace(decoded(F.col("content")), "^﻿", ""), "\r\n?", "\n")
     return text.select(F.regexp_replace("path", f"^(?:file:)?/*{re.escape(base.lstrip('/'))}/", "").alias("path"), F.col("length").alias("size"), plain.alias("content"))
 
 
