@@ -71,14 +71,6 @@ def envelope_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.instances(spark, sf_dir).select("instance_id", (8000 - (24 + 4 * F.coalesce(F.size("gold_files"), F.lit(0)))).alias("budget"))
 
 
-@query(f"""WITH {R.FRAGMENTS_SQL}, a AS (SELECT id, lead(id) OVER (PARTITION BY file ORDER BY start_line, end_line, id) AS nx, file FROM f), co AS (SELECT DISTINCT file FROM f WHERE kind = 'class')
-    SELECT f.file, count(*) AS fragments FROM f JOIN co USING (file) GROUP BY 1""")
-def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files let through by the gate: those that hold a core (here: a class), with their fragments."""
-    f = R.fragments(spark, sf_dir).select("id", "file", "kind")
-    return f.join(f.filter("kind = 'class'").select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.count("*").alias("fragments"))
-
-
 @query("SELECT c_mktsegment, count(DISTINCT c_nationkey) AS nations, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment)")
 def level_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several levels of a hierarchy in one pass."""

@@ -63,51 +63,6 @@ def auto_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("instance_id", core.alias("core")).withColumn("budget", S.auto_budget(F.col("core")))
 
 
-NEEDS_SQL = rf"""{R.FRAGMENTS_SQL}, nd AS (SELECT DISTINCT id AS query, repo, file, lower(unnest(regexp_extract_all(content, '\b([A-Za-z_]\w{{2,}})\(', 1))) AS need FROM f WHERE kind IN ('class', 'interface', 'struct') AND repo IS NOT NULL),
-    df AS (SELECT repo, nm FROM (SELECT DISTINCT id, repo, lower(unnest(identifiers)) AS nm FROM f) GROUP BY 1, 2 HAVING count(*) <= 64),
-    ms AS (SELECT DISTINCT id, repo, file, nm FROM (SELECT id, repo, file, lower(unnest(identifiers)) AS nm FROM f WHERE repo IS NOT NULL) JOIN df USING (repo, nm)),
-    st AS (SELECT query, id, need, CASE WHEN lower(symbol) = need THEN CASE WHEN ms.file = nd.file THEN 1.0 ELSE 0.5 END ELSE 0.3 END::DOUBLE AS strength FROM nd JOIN ms ON nd.repo = ms.repo AND nd.need = ms.nm JOIN f USING (id) WHERE id <> query)"""
-
-
-def need_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Needs of each type (the names it calls) against the fragments of its repo that mention them.
-
-    A fragment that defines the name serves it fully in the same file and half elsewhere; a mention
-    serves it by 0.3.  Names in more than 64 fragments of a repo say nothing.
-    """
-    f = cut(R.fragments(spark, sf_dir).filter("repo is not null").select("id", "repo", "file", "kind", "symbol", "content", "identifiers", "start_line", "end_line"))
-    calls = F.explode(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]{2,})\("), F.lit(1)))
-    needs = f.filter("kind in ('class', 'interface', 'struct')").select(F.col("id").alias("query"), "repo", F.col("file").alias("own"), calls.alias("x")).select("query", "repo", "own", F.lower("x").alias("need")).distinct()
-    ms = f.select("id", "repo", "file", "symbol", F.explode("identifiers").alias("x")).select("id", "repo", "file", "symbol", F.lower("x").alias("need")).distinct()
-    few = ms.groupBy("repo", "need").agg(F.count("*").alias("n")).filter("n <= 64").select("repo", "need")
-    hit = needs.join(ms.join(few, ["repo", "need"]), ["repo", "need"]).filter("id <> query")
-    strength = F.when(F.lower("symbol") == F.col("need"), F.when(F.col("file") == F.col("own"), 1.0).otherwise(0.5)).otherwise(0.3)
-    return hit.select("query", "id", "need", strength.alias("strength"))
-
-
-@query(f"WITH {NEEDS_SQL} SELECT query, id, need, strength FROM st")
-def needs_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return need_matches(spark, sf_dir)
-
-
-@query(f"""WITH {NEEDS_SQL}, g AS (SELECT query, id, sum(sqrt(strength + 0.2 * least(strength, 1))) AS gain FROM st GROUP BY 1, 2)
-    SELECT query, id, round(gain + 0.1, 6) AS gain, round((gain + 0.1) / (greatest(strlen(content) // 4, 1) + 40), 8) AS density FROM g JOIN f USING (id)""")
-def first_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marginal gain and density of every candidate before anything is picked; relevance is the strength."""
-    gain = need_matches(spark, sf_dir).groupBy("query", "id").agg(F.sum(F.sqrt(F.col("strength") + S.ETA * F.least("strength", F.lit(1.0)))).alias("gain"))
-    cost = R.fragments(spark, sf_dir).filter("content is not null").select("id", X.token_cost(F.col("content")).alias("tokens"))
-    return gain.join(cost, "id").select("query", "id", F.round(F.col("gain") + S.BONUS, 6).alias("gain"), F.round((F.col("gain") + S.BONUS) / F.col("tokens"), 8).alias("density"))
-
-
-@query()
-def submodular_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = cut(need_matches(spark, sf_dir).withColumn("priority", F.lit(1.0)))
-    f = R.fragments(spark, sf_dir).filter("content is not null").select("id", "file", "start_line", "end_line", X.token_cost(F.col("content")).alias("tokens"))
-    rel = m.groupBy("query", "id").agg(F.max("strength").alias("rel")).withColumn("core", F.lit(False))
-    own = m.select("query").distinct().select("query", F.col("query").alias("id"), F.lit(1.0).alias("rel"), F.lit(True).alias("core"))
-    return S.submodular_select(rel.unionByName(own).join(f, "id"), m.select(*[F.col(c).alias(c) for c in m.columns]), BUDGET)
-
-
 @query()
 def boltzmann_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.boltzmann_select(costed(spark, sf_dir).select("query", "doc", "score", "cost"), BUDGET)
@@ -161,12 +116,3 @@ def named_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = E.binned(f.filter("symbol is not null").select(F.col("id").alias("d"), "file", F.col("start_line").alias("ds"), F.col("end_line").alias("de")), "ds", "de")
     s = spans(f).withColumn("bin", F.floor(F.col("start_line") / E.BIN))
     return s.join(d, ["file", "bin"]).filter("ds <= start_line and end_line <= de").groupBy("id").agg(F.min_by("d", F.struct(F.col("de") - F.col("ds"), F.col("d"))).alias("container"))
-
-
-@query(f"""WITH {R.FRAGMENTS_SQL}, {R.BASKETS_SQL}, dg AS (SELECT node, count(*) AS n FROM b GROUP BY 1), hub AS (SELECT node FROM dg WHERE n >= 30), link AS (SELECT DISTINCT commit_id, node FROM b WHERE node IN (SELECT node FROM hub))
-    SELECT b.commit_id, count(*) AS hub_parts FROM link b GROUP BY 1""")
-def hub_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits that touch hub files, with how many."""
-    b = R.baskets(spark, sf_dir)
-    hubs = b.groupBy("node").agg(F.count("*").alias("n")).filter("n >= 30").select("node")
-    return b.join(hubs, "node", "left_semi").groupBy("commit_id").agg(F.count("*").alias("hub_parts"))
