@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.runtime import cut, small
+from weftline.runtime import cut, small, written
 
 FIELDS = ("problem_statement", "gold_patch")
 TRAIN, EVAL = "calibration", ("validation", "test")
@@ -33,13 +33,13 @@ TRAIN, EVAL = "calibration", ("validation", "test")
 NEAR = 0.75
 #: Share of a text's elements that is held; any share above 0.4 (1 - NEAR / (2 - NEAR)) is exact, a larger
 #: one leaves fewer candidates.
-PREFIX = 0.6
+PREFIX = 0.5
 #: Words of a passage whose matches make the coverage of an evaluation text.
 PASSAGE = 5
 #: Same words of a text are numbered apart up to NUMBERED, and counted apart over the corpus up to COUNTED.
 NUMBERED, COUNTED = 4096, 8
 #: Texts of a block of the training and the evaluation side.
-TRAIN_BLOCK, EVAL_BLOCK = 10_000, 30_000
+TRAIN_BLOCK, EVAL_BLOCK = 10_000, 100_000
 #: Elements a worker holds while it counts.
 COUNT_ROWS = 4_000_000
 #: A word is three of BASE characters from FIRST on; words of one code count as one word.
@@ -243,7 +243,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     """``eval_key, train_key`` of classes (``key, field, n, codes, is_train, is_eval``) that may agree by NEAR; none that does is left out."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(element_counts(classes))
-    texts = cut(prefixes(classes, counts).withColumn("range", length_class(F.col("n"))))
+    texts = written(prefixes(classes, counts).withColumn("range", length_class(F.col("n"))))
     # As many rows as there are fields and ranges of lengths.
     sizes = texts.filter("is_train").groupBy("field", "range").agg(F.ceil(F.count("*") / TRAIN_BLOCK).cast("int").alias("parts"))
     evals = max(1, -(-texts.filter("is_eval").count() // EVAL_BLOCK))
@@ -305,8 +305,8 @@ def commit_hits(records: DataFrame) -> DataFrame:
 def text_classes(instances: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members ``instance_id, is_train, key`` and classes of equal texts ``key, field, n, codes, is_train, is_eval``."""
     texts = coded(instances.select("instance_id", *FIELDS)).join(small(splits), "instance_id")
-    texts = cut(texts.select("instance_id", "is_train", "field", "key", "n", "codes"))
-    classes = cut(
+    texts = written(texts.select("instance_id", "is_train", "field", "key", "n", "codes"))
+    classes = written(
         texts.groupBy("key").agg(F.first("field").alias("field"), F.first("n").alias("n"), F.first("codes").alias("codes"), F.max("is_train").alias("is_train"), F.max(~F.col("is_train")).alias("is_eval"))
     )
     return texts.select("instance_id", "is_train", "key").distinct(), classes
