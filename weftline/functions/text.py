@@ -45,7 +45,7 @@ COMMENT_LINE = r"^\s*(#|//|--|/\*|\*|<!--|;|%|\"\"\"|''')"
 def identifiers(text: Column, least: int = 2) -> Column:
     """All names of a text in lower case, at least ``least`` characters, in order, with repeats."""
     found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
-    return F.filter(F.transform(found, F.lower), lambda x: F.length(x) >= least)
+    return F.filter(F.transform(found, F.lower), lambda x: F.octet_length(x) >= least)
 
 
 def canonical_key(name: Column) -> Column:
@@ -105,6 +105,69 @@ def is_generated_dir(path: Column) -> Column:
     return F.arrays_overlap(directories(path), F.array(*map(F.lit, GENERATED_DIRS)))
 
 
+#: Ends of names that generators give.
+GENERATED_NAMES = r"(?i)(\.pb\.go|_pb2\.py|_pb2_grpc\.py|\.pb\.h|\.pb\.cc|\.g\.dart|\.freezed\.dart|\.generated\.\w+|_generated\.\w+|\.gen\.\w+|\.designer\.cs|\.min\.js|\.min\.css|-lock\.json|\.lock)$"
+#: Interpreters of a first line, to language.
+INTERPRETERS = {"python": "python", "node": "javascript", "bash": "shell", "sh": "shell", "zsh": "shell", "ruby": "ruby", "perl": "perl", "php": "php", "lua": "lua", "rscript": "r", "julia": "julia", "elixir": "elixir"}
+#: Categories of languages.
+CATEGORIES = {
+    "code": ("python", "javascript", "jsx", "typescript", "tsx", "rust", "go", "java", "kotlin", "scala", "c", "cpp", "csharp", "ruby", "php", "swift", "shell", "sql", "lua", "perl", "r", "julia", "haskell", "elixir", "erlang", "clojure", "dart", "zig", "nim", "ocaml", "nix"),
+    "docs": ("markdown", "rst"), "config": ("yaml", "toml", "json", "hcl", "env", "properties"), "data": ("html", "css", "scss", "protobuf", "graphql"),
+}
+
+
+def sniffed_language(path: Column, text: Column) -> Column:
+    """Language by extension, else by the interpreter of the first line, else ``other``."""
+    word = F.regexp_extract(text, r"^#!\s*(?:\S*/)?(?:env\s+(?:-S\s+)?)?([A-Za-z]+)", 1)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in INTERPRETERS.items() for x in kv]), F.lower(word))
+    named = language(path)
+    return F.when(named != "other", named).otherwise(F.coalesce(known, F.lit("other")))
+
+
+def category(lang: Column) -> Column:
+    """Category of a language: code, docs, config, data or generic."""
+    pairs = F.create_map(*[F.lit(x) for k, v in CATEGORIES.items() for name in v for x in (name, k)])
+    return F.coalesce(F.try_element_at(pairs, lang), F.lit("generic"))
+
+
+def is_generated(path: Column, text: Column) -> Column:
+    """By the end of the name, a directory of the path, or the header."""
+    return F.coalesce(file_name(path).rlike(GENERATED_NAMES), F.lit(False)) | F.coalesce(is_generated_dir(path), F.lit(False)) | F.coalesce(generated_header(text), F.lit(False))
+
+
+def property_keys(name: Column) -> Column:
+    """The keys a property answers to: its canonical form, and the one relaxed binding gives a variable (dots as underscores, no dashes)."""
+    relaxed = canonical_key(F.replace(F.replace(F.lower(name), F.lit("."), F.lit("_")), F.lit("-"), F.lit("")))
+    return F.filter(F.array_distinct(F.array(canonical_key(name), relaxed)), lambda k: F.length(k) >= 2)
+
+
+def kafka_property(name: Column) -> Column:
+    """The property an image's variable sets: the key without ``kafka_cfg_`` or ``kafka_``; null for other variables."""
+    rest = F.regexp_extract(canonical_key(name), r"^kafka_(?:cfg_)?(.{3,})$", 1)
+    return F.when(rest != "", rest)
+
+
+def grouped_thousands(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.regexp_replace(n.cast("long").cast("string"), r"(\d)(?=(\d{3})+$)", "$1,")
+
+
+def human_size(n: Column) -> Column:
+    """Bytes as B, KB, MB or GB with one decimal."""
+    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
+    for unit, size in (("KB", 1024), ("MB", 1024**2), ("GB", 1024**3)):
+        out = F.when(n >= size, F.concat(F.format_number(n / size, 1), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def fnv1a64(text: str) -> int:
+    """The 64-bit FNV-1a hash of a text, for values that have to be equal elsewhere."""
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 def generated_header(text: Column, lines: int = 10) -> Column:
     """A generator's signature in the first lines; ``@generated`` not followed by a small letter."""
     head = F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n")

@@ -62,7 +62,7 @@ def cochange_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
     WITH t AS (SELECT doc_id AS doc, lower(unnest(regexp_extract_all(text, '[A-Za-z_][\p{L}\p{M}\p{Nd}\p{Pc}]*'))) AS term FROM documents),
-    k AS (SELECT doc, term, count(*) AS tf FROM t WHERE length(term) >= 3 GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc, term, count(*) AS tf FROM t WHERE strlen(term) >= 3 GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
     d AS (SELECT term, count(*) AS df, ln((any_value(n) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf, any_value(n) AS n FROM k, nn GROUP BY 1),
     g AS (SELECT * FROM d WHERE idf >= 2 AND df <= floor(greatest(0.15 * n, 1))),
     w AS (SELECT doc, term, df, tf * idf AS w FROM k JOIN g USING (term)), nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),

@@ -125,8 +125,8 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BM25_SQL = r"""t AS (SELECT doc_id AS doc, lower(unnest(regexp_extract_all(text, '[A-Za-z_][\p{L}\p{M}\p{Nd}\p{Pc}]*'))) AS term FROM documents),
-    k AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM t WHERE length(term) >= 3 GROUP BY 1, 2), l AS (SELECT doc, sum(tf) AS dl FROM k GROUP BY 1), a AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), df AS (SELECT term, count(*) AS df FROM k GROUP BY 1),
-    q AS (SELECT DISTINCT query, term FROM (SELECT query, lower(unnest(regexp_extract_all(x, '[A-Za-z_][\p{L}\p{M}\p{Nd}\p{Pc}]*'))) AS term FROM qq) WHERE length(term) >= 3),
+    k AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM t WHERE strlen(term) >= 3 GROUP BY 1, 2), l AS (SELECT doc, sum(tf) AS dl FROM k GROUP BY 1), a AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), df AS (SELECT term, count(*) AS df FROM k GROUP BY 1),
+    q AS (SELECT DISTINCT query, term FROM (SELECT query, lower(unnest(regexp_extract_all(x, '[A-Za-z_][\p{L}\p{M}\p{Nd}\p{Pc}]*'))) AS term FROM qq) WHERE strlen(term) >= 3),
     bm AS MATERIALIZED (SELECT query, k.doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 3.5 / (tf + 2.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN k USING (term) JOIN df USING (term) JOIN l ON k.doc = l.doc, a GROUP BY 1, 2)"""
 QUERY_SQL = "qq AS (SELECT source AS query, arg_min(text, doc_id) AS x FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1)"
 

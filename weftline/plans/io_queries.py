@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import text as X
 from weftline.operators import edges as E
 from weftline.operators import impact
 from weftline.operators import relations as R
@@ -64,10 +65,37 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", F.md5(F.concat(head, fence, F.lit("\n"), F.col("content"), F.when(F.col("content").endswith("\n"), "").otherwise("\n"), fence)).alias("block"))
 
 
+def impact_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files with their facts, and the least path of each repo as what changes."""
+    f = R.fragments(spark, sf_dir).filter("repo is not null and path is not null and content is not null").select("repo", "path", "file", "content")
+    return f, cut(impact.facts(f)), f.groupBy("repo").agg(F.min("file").alias("file")).select("file")
+
+
 @query()
 def impact_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers of what each repo's least path defines, elsewhere in the corpus."""
-    f = R.fragments(spark, sf_dir).filter("repo is not null and path is not null and content is not null").select("repo", "path", "file", "content")
-    facts = cut(impact.facts(f))
-    changed = f.groupBy("repo").agg(F.min("file").alias("file")).select("file")
+    _, facts, changed = impact_parts(spark, sf_dir)
     return impact.callers(facts, changed)
+
+
+@query()
+def impact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test files that reach what each repo's least path defines."""
+    _, facts, changed = impact_parts(spark, sf_dir)
+    return impact.reaching_tests(facts, changed)
+
+
+@query()
+def impact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, facts, _ = impact_parts(spark, sf_dir)
+    return impact.coverage(facts, f)
+
+
+# Go definitions and imports alone, as SQL can read them line by line.
+@query(r"""WITH f AS (SELECT DISTINCT ON (fragment_id) * FROM fragments ORDER BY fragment_id, ingested_at DESC NULLS LAST), l AS (SELECT repo || ':' || path AS file, string_split(content, chr(10)) AS l FROM f WHERE repo IS NOT NULL AND path IS NOT NULL AND content IS NOT NULL AND lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) = 'go'),
+    n AS (SELECT file, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM l), c AS (SELECT * FROM n WHERE NOT regexp_matches(line, '^\s*(?://|#[^\[]|#$|\*|/\*)'))
+    SELECT file, 'def' AS fact, CASE WHEN regexp_extract(line, '^func\s+(?:\([^)]*\)\s*)?(\w+)', 1) <> '' THEN regexp_extract(line, '^func\s+(?:\([^)]*\)\s*)?(\w+)', 1) ELSE regexp_extract(line, '^type\s+(\w+)', 1) END AS name, no AS line FROM c
+      WHERE regexp_matches(line, '^func\s+(?:\([^)]*\)\s*)?\w+|^type\s+\w+')""")
+def go_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = R.fragments(spark, sf_dir).filter("repo is not null and path is not null and content is not null").select("path", "file", "content")
+    return impact.facts(f.filter(X.extension(F.col("path")) == "go")).filter("fact = 'def'").select("file", "fact", "name", "line")

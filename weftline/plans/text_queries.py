@@ -31,7 +31,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
     WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{WORD}'))) AS term FROM documents)
-    SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t WHERE length(term) >= 3 GROUP BY term
+    SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t WHERE strlen(term) >= 3 GROUP BY term
 """)
 def ident_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.identifiers(F.col("text"), 3)).alias("term"))
@@ -41,7 +41,7 @@ def ident_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
     WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{WORD}'))) AS term FROM documents)
     SELECT term, count(DISTINCT doc_id) AS df FROM t
-    WHERE length(term) >= 3 AND term NOT IN (SELECT unnest({sql_list(STOPWORDS)})) AND NOT regexp_full_match(term, '[0-9]+') GROUP BY term
+    WHERE strlen(term) >= 3 AND term NOT IN (SELECT unnest({sql_list(STOPWORDS)})) AND NOT regexp_full_match(term, '[0-9]+') GROUP BY term
 """)
 def stopword_filtered_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.identifiers(F.col("text"), 3))).alias("term"))

@@ -40,3 +40,24 @@ def mermaid(edges: DataFrame, top: int = 20) -> str:
     rows = best.orderBy(F.desc("weight"), "src", "dst").collect()
     label = lambda s: "<1%" if s < 0.01 else f"{round(100 * s)}%"
     return "\n".join(["graph LR", *(f'  n{r["src"]}["{r["src"]}"] -->|{label(r["share"])}| n{r["dst"]}["{r["dst"]}"]' for r in rows)])
+
+
+def json_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``ord, line`` of one JSON document: nodes in order, edges in order, a summary; sort by ord and line to write it.
+
+    ``nodes`` are ``id, file, kind``.  Elements are rendered in parallel; commas are put before all but the
+    first of each list, found by the least line.
+    """
+    spark = edges.sparkSession
+    weight = F.round("weight", 4)
+    n = nodes.select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), "file", "kind")).alias("x"))
+    e = edges.select(F.to_json(F.struct(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), weight.alias("weight"), "category")).alias("x"))
+
+    def listed(df: DataFrame, at: int) -> DataFrame:
+        first = df.agg(F.min("x").alias("first"))
+        return df.join(F.broadcast(first)).select(F.lit(at).alias("ord"), F.when(F.col("x") == F.col("first"), F.col("x")).otherwise(F.concat(F.lit(","), F.col("x"))).alias("line"), F.col("x").alias("key"))
+
+    counts = nodes.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges")))
+    foot = counts.select(F.lit(5).alias("ord"), F.concat(F.lit('],"summary":'), F.to_json(F.struct("nodes", "edges")), F.lit("}")).alias("line"), F.lit("").alias("key"))
+    head = spark.createDataFrame([(1, '{"schema":"graph.v1","nodes":[', ""), (3, '],"edges":[', "")], "ord int, line string, key string")
+    return head.unionByName(listed(n, 2)).unionByName(listed(e, 4)).unionByName(foot)

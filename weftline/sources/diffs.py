@@ -116,3 +116,30 @@ def revert(new: str, runs: list[tuple]) -> str | None:
             return None
         lines[at : at + length] = list(removed)
     return "\n".join(lines)
+
+
+def unified_diffs(versions: DataFrame, radius: int = 3) -> DataFrame:
+    """``path, diff`` of ``path, old, new``; equal versions have an empty diff."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            batch["diff"] = [unified(o or "", n or "", p, radius) if (o or "") != (n or "") else "" for p, o, n in zip(batch["path"], batch["old"], batch["new"])]
+            yield batch[["path", "diff"]]
+
+    return versions.select("path", "old", "new").mapInPandas(run, "path string, diff string")
+
+
+def reverted(files: DataFrame, hunks: DataFrame) -> DataFrame:
+    """``path, old`` of ``path, content`` and the hunks of ``version_hunks``; null where the hunks do not fit, the text itself without hunks."""
+    from pyspark.sql import functions as F
+
+    runs = hunks.groupBy("path").agg(F.collect_list(F.struct("old_start", "old_len", "new_start", "new_len", "removed", "added")).alias("runs"))
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            batch["old"] = [
+                c if r is None else revert(c or "", [(x["old_start"], x["old_len"], x["new_start"], x["new_len"], list(x["removed"]), list(x["added"])) for x in r]) for c, r in zip(batch["content"], batch["runs"])
+            ]
+            yield batch[["path", "old"]]
+
+    return files.select("path", "content").join(runs, "path", "left").mapInPandas(run, "path string, old string")
