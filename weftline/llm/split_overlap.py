@@ -35,7 +35,7 @@ NEAR = 0.75
 #: Share of a text's elements that is held; any share above 0.4 (1 - NEAR / (2 - NEAR)) is exact, a larger
 #: one leaves fewer candidates.
 PREFIX = 0.6
-#: The same of pairs of neighbouring words, which long patches are held by: above 0.75 is exact.
+#: The same of pairs of neighbouring words, which long patches are held by; at 0.85 at least one shared pair is held for all lengths that meet so.
 PAIR_PREFIX = 0.85
 #: Length class from which patches are held by pairs of words, and the field.
 PAIRED_FROM, PAIRED_FIELD = 6, "gold_patch"
