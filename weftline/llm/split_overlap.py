@@ -5,8 +5,7 @@ automaton's nodes have few branches and a match is a run of whole words.
 Exact copies are one class.  A word and its number among the same words of its text make an element,
 so that the elements two texts share bound their common word sequence from above.  Of each text
 the part PREFIX with the rarest elements is held: two texts that agree by NEAR share a number of
-those which their lengths give, so counting shared elements loses no pair.  Long patches are held by
-pairs of neighbouring words in the same way, of which texts that do not agree share hardly any.  Texts meet in blocks of
+those which their lengths give, so counting shared elements loses no pair.  Texts meet in blocks of
 one field and range of lengths, and every candidate is confirmed by the length of its longest
 common word sequence.
 
@@ -35,10 +34,6 @@ NEAR = 0.75
 #: Share of a text's elements that is held; any share above 0.4 (1 - NEAR / (2 - NEAR)) is exact, a larger
 #: one leaves fewer candidates.
 PREFIX = 0.6
-#: The same of pairs of neighbouring words, which long patches are held by; at 0.85 at least one shared pair is held for all lengths that meet so.
-PAIR_PREFIX = 0.85
-#: Length class from which patches are held by pairs of words, and the field.
-PAIRED_FROM, PAIRED_FIELD = 6, "gold_patch"
 #: Words of a passage whose matches make the coverage of an evaluation text.
 PASSAGE = 5
 #: Same words of a text are numbered apart up to NUMBERED, and counted apart over the corpus up to COUNTED.
@@ -177,52 +172,27 @@ def element_counts(classes: DataFrame) -> bytes:
     return table.tobytes()
 
 
-def word_pairs(code: object, often: object) -> object:
-    """The held pairs of neighbouring words of a text as 32-bit integers.
-
-    Pairs of rare words come first: any order that all texts share would do.
-    """
-    import numpy as np
-
-    pair, number = elements(code[:-1] * CODES + code[1:])
-    frequency = often[pair // CODES * COUNTED].astype(np.int64) * often[pair % CODES * COUNTED]
-    first = np.lexsort((number, pair, frequency))[: math.ceil(PAIR_PREFIX * len(pair) - 1e-9)]
-    mixed = pair[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number[first].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(32)).astype(np.uint32)
-
-
 def prefixes(classes: DataFrame, counts: object) -> DataFrame:
-    """``key, field, n, is_train, is_eval, range, ids, pairs``: the rarest elements of each class as 32-bit integers.
-
-    A patch meets texts of a class of lengths from PAIRED_FROM on by its pairs of words, all other
-    texts by their words; what it does not need is null.
-    """
+    """``key, field, n, is_train, is_eval, ids``: the rarest elements of each class as 32-bit integers."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
         often = np.frombuffer(counts.value, dtype=np.int32)
         for batch in batches:
-            ids, pairs = [], []
-            for text, field, at, is_eval in zip(batch["codes"], batch["field"], batch["range"], batch["is_eval"]):
-                code = numbers(text)
-                paired = field == PAIRED_FIELD and at + is_eval >= PAIRED_FROM
-                pairs.append(word_pairs(code, often).tobytes() if paired else None)
-                if field == PAIRED_FIELD and at - is_eval >= PAIRED_FROM:
-                    ids.append(None)
-                    continue
-                word, number = elements(code)
+            ids = []
+            for text in batch["codes"]:
+                word, number = elements(numbers(text))
                 # Any total order would do; the rarest first leave the fewest candidates.
                 order = often[word * COUNTED + np.minimum(number, COUNTED - 1)].astype(np.int64) << 42 | word << 22 | number
                 size = prefix_words(len(word))
                 first = np.argpartition(order, size - 1)[:size] if size < len(word) else np.arange(len(word))
                 # Numbers beyond NUMBERED share an id, which can only add to what is counted.
                 ids.append((word[first] * NUMBERED + np.minimum(number[first], NUMBERED - 1)).astype(np.uint32).tobytes())
-            batch["ids"], batch["pairs"] = ids, pairs
-            yield batch[["key", "field", "n", "is_train", "is_eval", "range", "ids", "pairs"]]
+            batch["ids"] = ids
+            yield batch[["key", "field", "n", "is_train", "is_eval", "ids"]]
 
-    rows = classes.select("key", "field", "n", "is_train", "is_eval", "codes", length_class(F.col("n")).alias("range"))
-    return rows.mapInPandas(run, "key bigint, field string, n int, is_train boolean, is_eval boolean, range int, ids binary, pairs binary")
+    return classes.select("key", "field", "n", "is_train", "is_eval", "codes").mapInPandas(run, "key bigint, field string, n int, is_train boolean, is_eval boolean, ids binary")
 
 
 def candidates(evals: object, trains: object) -> object:
@@ -230,9 +200,7 @@ def candidates(evals: object, trains: object) -> object:
 
     Of the elements of texts of n and m words at least need = NEAR / 2 * (n + m) are shared, so at most n - need
     and m - need are not.  The side whose held part ends first in the common order has all the shared ones of
-    that part within the other's part.  A common sequence of need words leaves all but
-    n + m - 2 * need of its own neighbours neighbours in both texts, so of pairs of words at least
-    3 * need - n - m - 1 are shared.
+    that part within the other's part.
     """
     import numpy as np
     import pandas as pd
@@ -241,24 +209,31 @@ def candidates(evals: object, trains: object) -> object:
     if not len(evals) or not len(trains):
         return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
     trains = trains.sort_values("n")
-    paired = bool(trains["paired"].iloc[0])
-    share = PAIR_PREFIX if paired else PREFIX
     ids = [np.frombuffer(x, dtype=np.uint32) for x in trains["ids"]]
     flat = np.concatenate(ids)
     by_id = np.argsort(flat, kind="stable")
     holders = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])[by_id]
-    known, starts = np.unique(flat[by_id], return_index=True)
-    ends = np.r_[starts[1:], len(flat)]
-    del flat, by_id, ids
+    known, place = np.unique(flat[by_id], return_inverse=True)
+    # Element and holder as one ascending number, so that the holders of fitting lengths are a slice of each element's.
+    size_m = len(trains)
+    held = place.astype(np.int64) * size_m + holders
+    del flat, by_id, ids, place
     keys, m = trains["key"].to_numpy(), trains["n"].to_numpy().astype(np.int64)
-    held_m = np.ceil(share * (m - paired) - 1e-9)
+    held_m = np.ceil(PREFIX * m - 1e-9)
     out = []
     for key, n, raw in zip(evals["key"], evals["n"], evals["ids"]):
+        # Texts whose lengths allow NEAR at all: need is within both lengths.
+        need = np.ceil(NEAR / 2 * (n + m) - 1e-9)
+        fit = np.flatnonzero(need <= np.minimum(n, m))
+        if not len(fit):
+            continue
+        low, high = int(fit[0]), int(fit[-1]) + 1
         mine = np.frombuffer(raw, dtype=np.uint32)
         at = np.searchsorted(known, mine)
         at = at[known[np.minimum(at, len(known) - 1)] == mine]
         shared, parts, size = np.zeros(len(m), dtype=np.int64), [], 0
-        for a, b in zip(starts[at].tolist(), ends[at].tolist()):
+        at = at.astype(np.int64) * size_m
+        for a, b in zip(np.searchsorted(held, at + low).tolist(), np.searchsorted(held, at + high).tolist()):
             parts.append(holders[a:b])
             size += b - a
             if size >= COUNT_ROWS:
@@ -266,9 +241,7 @@ def candidates(evals: object, trains: object) -> object:
                 parts, size = [], 0
         if parts:
             shared += np.bincount(np.concatenate(parts), minlength=len(m))
-        need = np.ceil(NEAR / 2 * (n + m) - 1e-9)
-        common = 3 * need - n - m - 1 if paired else need
-        least = np.maximum(1, np.minimum(math.ceil(share * (n - paired) - 1e-9) - (n - paired - common), held_m - (m - paired - common)))
+        least = np.maximum(1, np.minimum(prefix_words(n) - (n - need), held_m - (m - need)))
         hit = np.flatnonzero((shared >= least) & (need <= np.minimum(n, m)) & (keys != key))
         out += [(key, k) for k in keys[hit].tolist()]
     return pd.DataFrame(out, columns=names).astype("int64")
@@ -278,7 +251,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     """``eval_key, train_key`` of classes (``key, field, n, codes, is_train, is_eval``) that may agree by NEAR; none that does is left out."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(element_counts(classes))
-    texts = written(prefixes(classes, counts))
+    texts = written(prefixes(classes, counts).withColumn("range", length_class(F.col("n"))))
     # As many rows as there are fields and ranges of lengths.
     sizes = texts.filter("is_train").groupBy("field", "range").agg(F.ceil(F.count("*") / TRAIN_BLOCK).cast("int").alias("parts"))
     evals = max(1, -(-texts.filter("is_eval").count() // EVAL_BLOCK))
@@ -289,8 +262,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     near = near.join(F.broadcast(sizes), ["field", "range"]).withColumn("part", each(F.col("parts")))
     block = ["field", "range", "part", "eval_part"]
     # Both sides come from one table; new columns keep them apart.
-    paired = (F.col("field") == PAIRED_FIELD) & (F.col("range") >= PAIRED_FROM)
-    sides = [x.select(*[F.col(c).alias(c) for c in (*block, "key", "n")], paired.alias("paired"), F.when(paired, F.col("pairs")).otherwise(F.col("ids")).alias("ids")) for x in (near, train)]
+    sides = [x.select(*[F.col(c).alias(c) for c in (*block, "key", "n", "ids")]) for x in (near, train)]
     return sides[0].groupBy(*block).cogroup(sides[1].groupBy(*block)).applyInPandas(candidates, "eval_key bigint, train_key bigint")
 
 
