@@ -352,7 +352,7 @@ def test_scores(spark):
         S, G = {n for q, a, b in sel if q == k for n in range(a, b + 1)}, {n for q, a, b in gold if q == k for n in range(a, b + 1)}
         assert got[k]["line_recall"] == pytest.approx(len(S & G) / len(G), abs=1e-6) and (got[k]["line_precision"] is None if not S else got[k]["line_precision"] == pytest.approx(len(S & G) / len(S), abs=1e-6))
     df = spark.createDataFrame([(["a", "b", "x"], ["a", "b", "c", "d"], ["x", "y"])], "sel array<string>, req array<string>, forb array<string>")
-    assert tuple(df.select(EV.oracle_score("sel", "req", "forb") if False else EV.oracle_score(F.col("sel"), F.col("req"), F.col("forb")), EV.real_world_score(F.col("sel"), F.col("req"), F.col("forb"))).first()) == pytest.approx((25.0, 100 * 0.5 * 2 / 3))
+    assert tuple(df.select(EV.oracle_score(F.col("sel"), F.col("req"), F.col("forb")), EV.real_world_score(F.col("sel"), F.col("req"), F.col("forb"))).first()) == pytest.approx((25.0, 100 * 0.5 * 2 / 3))
     pairs = spark.createDataFrame([("g", 1.0, 0.5)] * 30 + [("g", 0.5, 1.0)] * 5 + [("h", 1.0, 1.0), ("h", None, 1.0)], "grp string, a double, b double")
     boot = {r["grp"]: r for r in EV.paired_bootstrap(pairs, "grp", "a", "b").collect()}
     assert boot["g"]["low"] > 0 and boot["g"]["p"] < 0.01 and boot["h"]["n"] == 1 and boot["h"]["p"] == 1.0

@@ -179,6 +179,33 @@ def generated_header(text: Column, lines: int = 10) -> Column:
     )
 
 
+def change_class(lines: Column, paths: Column) -> Column:
+    """Class of a patch from its lines and its files: the first that holds.
+
+    Generated if all its files are by name or directory; unknown without changed lines; layout if both
+    sides are equal up to blank lines and white space at line ends; content if a run has more than one
+    line of a side; mechanical if every line names a version, tag or digest; else unknown.
+    """
+    mark = lambda x: F.when(x.startswith("+") & ~x.startswith("+++"), "+").when(x.startswith("-") & ~x.startswith("---"), "-").otherwise(" ")
+    marks = F.array_join(F.transform(lines, mark), "")
+    side = lambda m: F.filter(F.transform(F.filter(lines, lambda x: mark(x) == m), lambda x: F.regexp_replace(F.substr(x, F.lit(2)), r"\s+$", "")), lambda x: x != "")
+    changed = F.transform(F.filter(lines, lambda x: mark(x) != " "), lambda x: F.substr(x, F.lit(2)))
+    written = F.forall(paths, lambda x: file_name(x).rlike(GENERATED_NAMES) | is_generated_dir(x))
+    return (
+        F.when((F.size(paths) > 0) & written, "generated")
+        .when(~marks.rlike("[+-]"), "unknown")
+        .when(side("-") == side("+"), "layout")
+        .when(marks.rlike(r"\+\+|--"), "content")
+        .when(F.forall(changed, lambda x: x.rlike(MECHANICAL_LINE)), "mechanical")
+        .otherwise("unknown")
+    )
+
+
+def evidence_priority(change: Column) -> Column:
+    """Content and unknown changes first, mechanical and layout ones next, generated ones last."""
+    return F.when(change == "generated", 2).when(change.isin("mechanical", "layout"), 1).otherwise(0)
+
+
 def importance(path: Column) -> Column:
     """Prior of a file: generated, then peripheral, else full."""
     peripheral = F.arrays_overlap(directories(path), F.array(*map(F.lit, PERIPHERAL_DIRS))) | F.lower(stem(path)).rlike(PERIPHERAL_STEM)

@@ -127,19 +127,27 @@ def patch_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.instances(spark, sf_dir).filter("gold_patch is not null").select("instance_id", added.cast("long").alias("added"), removed.cast("long").alias("removed"))
 
 
+# A patch as one mark per line, so that runs of changed lines are runs of marks.
+MARK_SQL = "CASE WHEN starts_with(x, '+') AND NOT starts_with(x, '+++') THEN '+' WHEN starts_with(x, '-') AND NOT starts_with(x, '---') THEN '-' ELSE ' ' END"
+SIDE_SQL = "list_filter(list_transform(list_filter(l, lambda x: starts_with(x, '{0}') AND NOT starts_with(x, '{0}{0}{0}')), lambda x: regexp_replace(substr(x, 2), '\\s+$', '')), lambda x: x <> '')"
+
+
 @query(rf"""
-    WITH {PATCH_LINES_SQL}, c AS (SELECT instance_id, substr(line, 2) AS line FROM l WHERE regexp_matches(line, '^[+-]') AND NOT regexp_matches(line, '^(\+\+\+|---)')),
-    g AS (SELECT instance_id, count(*) AS n, bool_and(regexp_matches(line, '{X.MECHANICAL_LINE}')) AS mech FROM c GROUP BY 1)
-    SELECT i.instance_id, CASE WHEN n IS NULL THEN 'unknown' WHEN mech THEN 'mechanical' WHEN n > 2 THEN 'content' ELSE 'unknown' END AS change_class
-    FROM i LEFT JOIN g USING (instance_id)
+    WITH i AS (SELECT DISTINCT ON (instance_id) instance_id, gold_patch FROM instances ORDER BY instance_id, ingested_at DESC NULLS LAST),
+    l AS (SELECT instance_id, coalesce(string_split(gold_patch, chr(10)), []) AS l, list_distinct(regexp_extract_all(coalesce(gold_patch, ''), '(?m)^diff --git a/(\S+)', 1)) AS paths FROM i),
+    m AS (SELECT instance_id, paths, array_to_string(list_transform(l, lambda x: {MARK_SQL}), '') AS marks, {SIDE_SQL.format("-")} AS gone, {SIDE_SQL.format("+")} AS came,
+      list_transform(list_filter(l, lambda x: {MARK_SQL} <> ' '), lambda x: substr(x, 2)) AS changed FROM l),
+    k AS (SELECT instance_id, CASE WHEN len(paths) > 0 AND len(list_filter(paths, lambda x: NOT (regexp_matches(x, '{X.GENERATED_NAMES}')
+        OR list_has_any(list_transform(string_split(regexp_replace(x, '/?[^/]*$', ''), '/'), lambda y: lower(y)), {sql_list(X.GENERATED_DIRS)})))) = 0 THEN 'generated'
+      WHEN NOT regexp_matches(marks, '[+-]') THEN 'unknown' WHEN gone = came THEN 'layout' WHEN regexp_matches(marks, '\+\+|--') THEN 'content'
+      WHEN len(list_filter(changed, lambda x: NOT regexp_matches(x, '{X.MECHANICAL_LINE}'))) = 0 THEN 'mechanical' ELSE 'unknown' END AS change_class FROM m)
+    SELECT instance_id, change_class, CASE change_class WHEN 'generated' THEN 2 WHEN 'mechanical' THEN 1 WHEN 'layout' THEN 1 ELSE 0 END AS priority FROM k
 """)
 def change_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = F.transform(F.filter(F.split("gold_patch", "\n"), lambda x: x.rlike(r"^[+-]") & ~x.rlike(r"^(\+\+\+|---)")), lambda x: F.substr(x, F.lit(2)))
-    i = R.instances(spark, sf_dir).select("instance_id", F.coalesce(changed, F.array().cast("array<string>")).alias("c"))
-    return i.select(
-        "instance_id",
-        F.when(F.size("c") == 0, "unknown").when(F.forall("c", lambda x: x.rlike(X.MECHANICAL_LINE)), "mechanical").when(F.size("c") > 2, "content").otherwise("unknown").alias("change_class"),
-    )
+    """What kind of change a patch is, and its place when evidence competes for a budget."""
+    i = R.instances(spark, sf_dir).select("instance_id", F.coalesce("gold_patch", F.lit("")).alias("p")).withColumn("l", F.split("p", "\n"))
+    rows = i.select("instance_id", F.array_distinct(F.regexp_extract_all("p", F.lit(r"(?m)^diff --git a/(\S+)"), F.lit(1))).alias("paths"), "l")
+    return rows.select("instance_id", X.change_class(F.col("l"), F.col("paths")).alias("change_class")).withColumn("priority", X.evidence_priority(F.col("change_class")))
 
 
 @query("WITH f AS (SELECT DISTINCT ON (fragment_id) fragment_id, content FROM fragments ORDER BY fragment_id, ingested_at DESC NULLS LAST) SELECT category, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(
