@@ -213,37 +213,41 @@ def candidates(evals: object, trains: object) -> object:
     flat = np.concatenate(ids)
     by_id = np.argsort(flat, kind="stable")
     holders = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])[by_id]
-    known, place = np.unique(flat[by_id], return_inverse=True)
-    # Element and holder as one ascending number, so that the holders of fitting lengths are a slice of each element's.
-    size_m = len(trains)
-    held = place.astype(np.int64) * size_m + holders
-    del flat, by_id, ids, place
+    known, starts = np.unique(flat[by_id], return_index=True)
+    ends = np.r_[starts[1:], len(flat)]
+    del flat, by_id, ids
     keys, m = trains["key"].to_numpy(), trains["n"].to_numpy().astype(np.int64)
     held_m = np.ceil(PREFIX * m - 1e-9)
-    out = []
+    out, last = [], None
+    evals = evals.sort_values("n")
     for key, n, raw in zip(evals["key"], evals["n"], evals["ids"]):
-        # Texts whose lengths allow NEAR at all: need is within both lengths.
-        need = np.ceil(NEAR / 2 * (n + m) - 1e-9)
-        fit = np.flatnonzero(need <= np.minimum(n, m))
-        if not len(fit):
+        if n != last:
+            # What depends on the lengths alone is worked out once for each; the fitting lengths lie together.
+            need = np.ceil(NEAR / 2 * (n + m) - 1e-9)
+            fit = np.flatnonzero(need <= np.minimum(n, m))
+            low, high = (int(fit[0]), int(fit[-1]) + 1) if len(fit) else (0, 0)
+            need = need[low:high]
+            least = np.maximum(1, np.minimum(prefix_words(n) - (n - need), held_m[low:high] - (m[low:high] - need))).astype(np.int64)
+            last = n
+        if low == high:
             continue
-        low, high = int(fit[0]), int(fit[-1]) + 1
         mine = np.frombuffer(raw, dtype=np.uint32)
         at = np.searchsorted(known, mine)
         at = at[known[np.minimum(at, len(known) - 1)] == mine]
-        shared, parts, size = np.zeros(len(m), dtype=np.int64), [], 0
-        at = at.astype(np.int64) * size_m
-        for a, b in zip(np.searchsorted(held, at + low).tolist(), np.searchsorted(held, at + high).tolist()):
+        shared, parts, size = None, [], 0
+        for a, b in zip(starts[at].tolist(), ends[at].tolist()):
             parts.append(holders[a:b])
             size += b - a
             if size >= COUNT_ROWS:
-                shared += np.bincount(np.concatenate(parts), minlength=len(m))
-                parts, size = [], 0
+                counted = np.bincount(np.concatenate(parts), minlength=len(m))
+                shared, parts, size = counted if shared is None else shared + counted, [], 0
         if parts:
-            shared += np.bincount(np.concatenate(parts), minlength=len(m))
-        least = np.maximum(1, np.minimum(prefix_words(n) - (n - need), held_m - (m - need)))
-        hit = np.flatnonzero((shared >= least) & (need <= np.minimum(n, m)) & (keys != key))
-        out += [(key, k) for k in keys[hit].tolist()]
+            counted = np.bincount(np.concatenate(parts), minlength=len(m))
+            shared = counted if shared is None else shared + counted
+        if shared is None:
+            continue
+        found = keys[low:high][shared[low:high] >= least]
+        out += [(key, k) for k in found.tolist() if k != key]
     return pd.DataFrame(out, columns=names).astype("int64")
 
 
