@@ -179,3 +179,16 @@ def test_streaming_churn(spark, tmp_path):
     q = churn.churn(stream).writeStream.outputMode("update").format("memory").queryName("churn_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["event_type"], r["n"]) for r in spark.table("churn_out").collect()} == {("a", 1), ("b", 1)}
+
+
+def test_lexical_weight_has_the_doubles_of_its_sql(spark):
+    """Every similarity of five digits, for bounds whose doubles are no exact distance apart, bit by bit."""
+    import duckdb
+
+    from weftline.operators import keys
+    from weftline.plans.key_queries import rounded_weight
+
+    got = spark.range(30000, 100001).select((F.col("id") / 1e5).alias("sim")).select("sim", rounded_weight(keys.lexical_weight(F.col("sim"), F.lit("c"), F.lit("java"))).alias("w")).toPandas()
+    assert len(got) == 70001
+    want = duckdb.sql("SELECT sim, round(0.08::DOUBLE + (sim - 0.30::DOUBLE) / 0.70::DOUBLE * (0.15 - 0.08), 5) AS w FROM got").df()
+    assert dict(zip(got["sim"], got["w"])) == dict(zip(want["sim"], want["w"]))

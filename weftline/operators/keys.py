@@ -130,7 +130,8 @@ def lexical_weight(sim: Column, a: Column, b: Column) -> Column:
         return F.coalesce(F.try_element_at(rows, F.coalesce(lang, F.lit(""))), F.lit(LEXICAL_DEFAULT[which]))
 
     low, high = F.greatest(bound(a, 0), bound(b, 0)), F.greatest(bound(a, 1), bound(b, 1))
-    return F.when(sim < LEXICAL_FLOOR, F.lit(0.0)).otherwise(low + (sim - LEXICAL_FLOOR) / (1 - LEXICAL_FLOOR) * (high - low))
+    # The bounds are decimals of two digits, and so is their distance: 0.15 - 0.08 is 0.07 and no double beside it.
+    return F.when(sim < LEXICAL_FLOOR, F.lit(0.0)).otherwise(low + (sim - LEXICAL_FLOOR) / (1 - LEXICAL_FLOOR) * F.round(high - low, 2))
 
 
 def config_keys(frags: DataFrame, config: Column, share: float = 0.25, least: int = 4) -> DataFrame:

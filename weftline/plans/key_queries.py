@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
@@ -60,6 +60,11 @@ def clamp_sql() -> str:
       * CASE WHEN src < dst THEN 1 ELSE 0.5::DOUBLE END AS weight FROM ({base}) JOIN (SELECT doc_id, {lang} AS l FROM documents) a ON src = a.doc_id JOIN (SELECT doc_id, {lang} AS l FROM documents) b ON dst = b.doc_id"""
 
 
+def rounded_weight(weight: Column) -> Column:
+    """Five digits.  Many weights end in half a unit: their double decides, as in the SQL, not its shortest decimal form."""
+    return F.round(weight * 1e5) / 1e5
+
+
 @query(clamp_sql())
 def lexical_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similar documents with the weight their languages allow; half of it against the order of ids."""
@@ -68,7 +73,7 @@ def lexical_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", X.language(F.coalesce("path", F.lit(""))).alias("lang"))
     e = lexical_edges(spark, sf_dir).join(d.select(F.col("doc_id").alias("src"), F.col("lang").alias("a")), "src").join(d.select(F.col("doc_id").alias("dst"), F.col("lang").alias("b")), "dst")
     back = F.when(F.col("src") < F.col("dst"), F.lit(1.0)).otherwise(F.lit(K.LEXICAL_BACK))
-    return e.select("src", "dst", (F.round(K.lexical_weight(F.col("sim"), F.col("a"), F.col("b")), 5) * back).alias("weight"))
+    return e.select("src", "dst", (rounded_weight(K.lexical_weight(F.col("sim"), F.col("a"), F.col("b"))) * back).alias("weight"))
 
 
 @query(f"WITH t AS ({ORACLE['tags_edges']}), o AS ({ORACLE['name_edges']}), n AS (SELECT src AS node FROM o UNION SELECT dst FROM o) SELECT * FROM t WHERE src NOT IN (SELECT node FROM n) AND dst NOT IN (SELECT node FROM n)")
