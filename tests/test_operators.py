@@ -192,3 +192,30 @@ def test_lexical_weight_has_the_doubles_of_its_sql(spark):
     assert len(got) == 70001
     want = duckdb.sql("SELECT sim, round(0.08::DOUBLE + (sim - 0.30::DOUBLE) / 0.70::DOUBLE * (0.15 - 0.08), 5) AS w FROM got").df()
     assert dict(zip(got["sim"], got["w"])) == dict(zip(want["sim"], want["w"]))
+
+
+def test_searches_over_segments_equal_those_by_pairs(spark, monkeypatch):
+    """Ties, a repeated document, one without an id, null and empty texts; several segments."""
+    from weftline.operators import search
+
+    monkeypatch.setattr(search, "SEGMENT_DOCS", 7)
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps_1", "zeta"], k=rng.randint(0, 6)))) for i in range(60)]
+    df = spark.createDataFrame([*docs, (8, "beta omega"), (None, "beta beta gamma"), (None, "zeta"), (99, None), (70, "omega")], "doc_id long, text string")
+    k = ranking.tokens(df.filter("text is not null"), "doc_id", "text")
+    q = k.filter("doc % 4 = 0").select(F.col("doc").alias("query"), "term")
+    q = q.unionByName(spark.createDataFrame([(500, "nowhere")], "query long, term string"))
+    ix, a = search.index(df, "doc_id", "text"), ranking.bm25(k, q).cache()
+    b = q.join(k, "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score")).filter("doc is not null")
+    assert len(ix.files) > 3 and ix.void
+
+    def near(x):
+        return {(r[0], r[1]): tuple(round(v, 5) for v in r[2:]) for r in x.collect()}
+
+    assert near(search.ranked(ix, q)) == near(ranking.ranked(a).select("query", "doc", "score", "rank"))
+    assert rows(search.best(ix, q)) == rows(a.filter("doc <> query").groupBy("query").agg(F.min_by("doc", F.struct(-F.col("score"), F.col("doc"))).alias("doc")))
+    ids = df.filter("doc_id is not null")
+    only, k = search.index(ids, "doc_id", "text"), ranking.tokens(ids.filter("text is not null"), "doc_id", "text")
+    a = ranking.bm25(k, q).cache()
+    assert near(search.rrf(only, q)) == near(ranking.rrf(a, b)) and near(search.pit(only, q)) == near(ranking.pit(b, a))
+    assert search.ranked(search.index(df.limit(0), "doc_id", "text"), q).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import edges as E
 from weftline.operators import graph as G
-from weftline.operators import ranking
+from weftline.operators import ranking, search
 from weftline.operators import relations as R
 from weftline.plans.edge_queries import COCHANGE_EDGES, COCHANGE_SQL, MERGED_SQL, fragment_edges
 from weftline.plans.registry import Query, query
@@ -152,6 +152,11 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.tokens(d, "doc_id", "text").select(F.col("doc").alias("query"), "term")
 
 
+def searched(spark: SparkSession, sf_dir: str) -> search.Index:
+    """All documents as an index for searches that grow with them."""
+    return search.index(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc, term, tf`` from the derived token table: the corpus is tokenised once, whatever asks for it."""
     return tokens.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", ranking.MIN_TERM)
@@ -223,8 +228,7 @@ def rare_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL} SELECT query, arg_min(doc, struct_pack(s := -score, d := doc)) AS doc FROM bm WHERE doc <> query GROUP BY 1")
 def discovery_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one best document beside each searching document."""
-    s = ranking.bm25(corpus(spark, sf_dir), document_terms(spark, sf_dir)).filter("doc <> query")
-    return s.groupBy("query").agg(F.min_by("doc", F.struct(-F.col("score"), F.col("doc"))).alias("doc"))
+    return search.best(searched(spark, sf_dir), document_terms(spark, sf_dir))
 
 
 @query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL} SELECT DISTINCT query, doc FROM q JOIN df USING (term) JOIN k USING (term) WHERE df <= 3")
