@@ -192,7 +192,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL}, {OVERLAP_SQL}, {RANKS_SQL} SELECT query, doc, round(coalesce(1.0::DOUBLE / (60 + ra.r), 0) + coalesce(1.0::DOUBLE / (60 + rb.r), 0), 8) AS score FROM ra FULL JOIN rb USING (query, doc)")
 def rrf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.rrf(*two_channels(spark, sf_dir, document_terms))
+    return search.rrf(searched(spark, sf_dir), document_terms(spark, sf_dir))
 
 
 @query(f"""WITH {QUERY_SQL}, {BM25_SQL}, {OVERLAP_SQL}, {RANKS_SQL} SELECT query, doc, round(0.65::DOUBLE * coalesce(rb.p, 0) + 0.35::DOUBLE * coalesce(ra.p, 0) + CASE WHEN ra.r <= 20 AND rb.r <= 20 THEN 0.10::DOUBLE ELSE 0 END, 8) AS score
