@@ -10,7 +10,7 @@ from weftline.operators import graph as G
 from weftline.operators import ranking, search
 from weftline.operators import relations as R
 from weftline.plans.edge_queries import COCHANGE_EDGES, COCHANGE_SQL, MERGED_SQL, fragment_edges
-from weftline.plans.registry import Query, query
+from weftline.plans.registry import query
 from weftline.runtime import cut, table
 from weftline.sources import tokens
 
@@ -176,8 +176,8 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 OVERLAP_SQL = "ov AS (SELECT query, doc, count(*)::DOUBLE AS score FROM q JOIN k USING (term) GROUP BY 1, 2)"
 
 
-def two_channels(spark: SparkSession, sf_dir: str, terms: Query = source_terms) -> tuple[DataFrame, DataFrame]:
-    k, q = corpus(spark, sf_dir), cut(terms(spark, sf_dir).distinct())
+def two_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, q = corpus(spark, sf_dir), cut(source_terms(spark, sf_dir).distinct())
     return cut(ranking.bm25(k, q)), q.join(k, "term").groupBy("query", "doc").agg(F.count("*").cast("double").alias("score"))
 
 
@@ -205,8 +205,7 @@ def pit_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL}, {OVERLAP_SQL}, {RANKS_SQL} SELECT query, doc, round(0.65::DOUBLE * coalesce(rb.p, 0) + 0.35::DOUBLE * coalesce(ra.p, 0) + CASE WHEN ra.r <= 20 AND rb.r <= 20 THEN 0.10::DOUBLE ELSE 0 END, 8) AS score
     FROM ra FULL JOIN rb USING (query, doc)""")
 def pit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = two_channels(spark, sf_dir, document_terms)
-    return ranking.pit(b, a)
+    return search.pit(searched(spark, sf_dir), document_terms(spark, sf_dir))
 
 
 @query(f"WITH {QUERY_SQL}, {BM25_SQL} SELECT query, arg_min(doc, struct_pack(s := -score, d := doc)) AS doc FROM bm JOIN (SELECT source, min(doc_id) AS own FROM documents WHERE text IS NOT NULL GROUP BY 1) o ON query = source WHERE doc <> own GROUP BY 1")
