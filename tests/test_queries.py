@@ -48,7 +48,7 @@ def test_every_fiftieth_document_searches(spark, duck):
     assert got >= ids and all(q % 50 == 0 for q in got) and got
 
 
-@pytest.mark.parametrize("name", ["discovery_search", "rrf_search", "pit_search"])
+@pytest.mark.parametrize("name", ["discovery_search", "rrf_search", "pit_search", "bm25_search"])
 def test_searches_move_no_pairs(name, spark):
     """Scores are made and used where a query's block is: after that nothing is joined, grouped or dealt out."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")

@@ -169,7 +169,7 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOCUMENT_QUERY_SQL}, {BM25_SQL} SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM bm")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ranked(ranking.bm25(corpus(spark, sf_dir), document_terms(spark, sf_dir)))
+    return search.ranked(searched(spark, sf_dir), document_terms(spark, sf_dir))
 
 
 # A second channel over the same documents: names shared with the query, by count.
